@@ -18,10 +18,17 @@ def spikes(df: DataFrame, bucket: str = "day", min_baseline_count: int = 1,
     without a baseline has no score and ranks first. Fewer than two buckets
     give no rows.
     """
+    return spikes_from_counts(bucket_issue_counts(df, bucket), min_baseline_count,
+                              spike_ratio_threshold, top_n)
+
+
+def spikes_from_counts(counts: DataFrame, min_baseline_count: int = 1,
+                       spike_ratio_threshold: float = 2.0, top_n: int = 10) -> DataFrame:
+    """``spikes`` over (time_bucket, issue_key, n) rows."""
     require(min_baseline_count >= 1, "min_baseline_count must be at least 1")
     require(spike_ratio_threshold >= 1, "spike_ratio_threshold must be at least 1")
-    require(1 <= top_n, "top_n must be at least 1")
-    counts = bucket_issue_counts(df, bucket).select("time_bucket", "issue_key", "n")
+    require(top_n >= 1, "top_n must be at least 1")
+    counts = counts.select("time_bucket", "issue_key", "n")
     span = counts.groupBy("time_bucket").agg(F.count("*").alias("_keys"))
     latest = span.agg(F.max("time_bucket").alias("v")).scalar()
     earlier = span.agg((F.count("*") - 1).alias("v")).scalar()

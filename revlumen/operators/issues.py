@@ -227,10 +227,48 @@ def feature_heatmap_wide(df: DataFrame, issue_types) -> DataFrame:
             .na.fill(0))
 
 
-def window_totals(df: DataFrame) -> DataFrame:
-    """Total, negative and critical reviews as one row."""
-    return df.agg(
-        F.count("*").alias("total"),
-        F.count_if(optional(df, "sentiment") == "Negative").alias("negative"),
-        F.count_if(is_critical(optional(df, "severity"))).alias("critical"),
+def report_cube(df: DataFrame, bucket: str = "day") -> DataFrame:
+    """Every measure of the weekly report per (bucket, cluster).
+
+    Totals, clusters and bucket counts all follow from this small table, so a
+    report scans and classifies its reviews once. Undated rows keep a null
+    bucket.
+    """
+    rows = with_cluster(df.select(
+        *CLUSTER, optional(df, "severity").alias("severity"), optional(df, "sentiment").alias("sentiment"),
+        optional(df, "score", "int").alias("score"),
+        time_bucket(review_time(df), bucket).alias("time_bucket"),
+    ))
+    return rows.groupBy("time_bucket", *CLUSTER).agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("sentiment") == "Negative").alias("negative"),
+        F.count_if(F.col("severity") == "P0").alias("p0"),
+        F.count_if(F.col("severity") == "P1").alias("p1"),
+        F.count_if(F.col("severity") == "P2").alias("p2"),
+        F.sum("score").alias("score_sum"), F.count("score").alias("score_n"),
+    ).withColumn("issue_key", issue_key(*[F.col(c) for c in CLUSTER]))
+
+
+def clusters_from_cube(cube: DataFrame) -> DataFrame:
+    """The columns of ``issue_clusters`` from a report cube."""
+    return cube.groupBy("issue_key", *CLUSTER).agg(
+        F.sum("n").alias("review_count"),
+        F.sum("p0").alias("p0_count"), F.sum("p1").alias("p1_count"), F.sum("p2").alias("p2_count"),
+        F.sum(F.col("n") - F.col("p0") - F.col("p1") - F.col("p2")).alias("fyi_count"),
+        round_to(F.sum("score_sum") / F.nullif(F.sum("score_n"), F.lit(0)), 2).alias("avg_rating"),
+        F.coalesce(F.sum(F.when(F.col("time_bucket").isNotNull(), F.col("n"))), F.lit(0)).alias("dated_count"),
+    )
+
+
+def report_totals(cube: DataFrame) -> DataFrame:
+    """Total reviews with their negative and critical shares, as one row."""
+    sums = cube.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_reviews"),
+        F.coalesce(F.sum("negative"), F.lit(0)).alias("_negative"),
+        F.coalesce(F.sum(F.col("p0") + F.col("p1")), F.lit(0)).alias("_critical"),
+    )
+    return sums.select(
+        "total_reviews",
+        round_to(ratio(F.col("_negative"), F.col("total_reviews")), 4).alias("negative_share"),
+        round_to(ratio(F.col("_critical"), F.col("total_reviews")), 4).alias("critical_share"),
     )

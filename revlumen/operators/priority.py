@@ -29,16 +29,16 @@ def half_split_trend(dated: Column) -> Column:
     return F.when(dated >= 4, (dated % 2) / F.floor(dated / 2)).otherwise(0.0)
 
 
-def _limited_clusters(df: DataFrame, max_clusters: int | None) -> DataFrame:
-    clusters = issue_clusters(df)
-    return clusters if max_clusters is None else clusters.orderBy(*cluster_order()).limit(max_clusters)
-
-
 def priority_scores(df: DataFrame, weights: PriorityWeights = PriorityWeights(), top_n: int = 10,
                     max_clusters: int | None = None) -> DataFrame:
     """Clusters by weighted impact, from the cluster aggregate alone."""
+    return score_clusters(issue_clusters(df), weights, top_n, max_clusters)
+
+
+def score_clusters(clusters: DataFrame, weights: PriorityWeights = PriorityWeights(), top_n: int = 10,
+                   max_clusters: int | None = None) -> DataFrame:
+    """``priority_scores`` over cluster rows; ``max_clusters`` keeps the largest."""
     require(top_n >= 1, "top_n must be at least 1")
-    clusters = issue_clusters(df)
     total = total_of(clusters)
     if max_clusters is not None:
         clusters = clusters.orderBy(*cluster_order()).limit(max_clusters)
@@ -95,8 +95,16 @@ def assign_owners(clusters: DataFrame, rules: DataFrame) -> DataFrame:
 def ownership_map(df: DataFrame, rules: DataFrame, include_unmapped: bool = True, top_n: int = 20,
                   max_clusters: int | None = None) -> DataFrame:
     """Clusters with the squad and owner responsible for them."""
+    return map_clusters(issue_clusters(df), rules, include_unmapped, top_n, max_clusters)
+
+
+def map_clusters(clusters: DataFrame, rules: DataFrame, include_unmapped: bool = True, top_n: int = 20,
+                 max_clusters: int | None = None) -> DataFrame:
+    """``ownership_map`` over cluster rows; ``max_clusters`` keeps the largest."""
     require(top_n >= 1, "top_n must be at least 1")
-    mapped = assign_owners(_limited_clusters(df, max_clusters), rules)
+    if max_clusters is not None:
+        clusters = clusters.orderBy(*cluster_order()).limit(max_clusters)
+    mapped = assign_owners(clusters, rules)
     if not include_unmapped:
         mapped = mapped.where(~F.col("is_unmapped"))
     return mapped.orderBy(*cluster_order()).limit(top_n).drop("p0_count", "p1_count")

@@ -5,6 +5,10 @@ keeps such a stage as its own projection, so a keyword scan runs once per row.
 The last stage passes through ``inline``: filters on the labels then stop above
 it and do not drag copies of the keyword tests below, while filters on the
 input columns (dates, ids) still reach the scan.
+
+The keyword tests are written as SQL text: the tables hold over a hundred
+words, and one expression per stage is far cheaper to build than a column
+object per word.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlumen.functions import keywords as K
-from revlumen.functions.text import has_any, is_low_signal, redact_pii
+from revlumen.functions.text import any_word, is_low_signal, redact_pii, sql_string
 
 LABEL_COLUMNS = (
     "issue_type", "feature_area", "severity", "sentiment", "confidence_score",
@@ -24,100 +28,65 @@ LABEL_COLUMNS = (
 SPAM, CRITICAL, SAFETY, MAJOR, MINOR, NOTE, NONE = range(7)
 
 
-def first_match(text: Column, groups) -> Column:
-    """Label of the first ``(label, words)`` group with a hit, else Unknown."""
-    chain = None
-    for label, words in groups:
-        test = has_any(text, words)
-        chain = F.when(test, label) if chain is None else chain.when(test, label)
-    return chain.otherwise("Unknown") if chain is not None else F.lit("Unknown")
+def first_match(column: str, groups) -> str:
+    """SQL for the label of the first ``(label, words)`` group with a hit."""
+    cases = " ".join(f"WHEN {any_word(column, words)} THEN {sql_string(label)}" for label, words in groups)
+    return f"CASE {cases} ELSE 'Unknown' END" if cases else "'Unknown'"
 
 
-def rating_sentiment(score: Column) -> Column:
-    return (F.when(score >= 4, "Positive").when(score == 3, "Neutral").when(score <= 2, "Negative"))
+def _one_of(column: str, values) -> str:
+    return f"{column} IN ({', '.join(sql_string(v) for v in values)})"
 
 
-def _by_label(label: Column, pairs, default) -> Column:
-    chain = None
-    for name, value in pairs:
-        chain = F.when(label == name, F.lit(value)) if chain is None else chain.when(label == name, F.lit(value))
-    return chain.otherwise(F.lit(default))
+SENTIMENT = "CASE WHEN score >= 4 THEN 'Positive' WHEN score = 3 THEN 'Neutral' WHEN score <= 2 THEN 'Negative' END"
 
 
-def _severity_step(tables: K.RuleTables) -> Column:
-    low, score = F.col("_low"), F.col("score")
-    issue, area, mood = F.col("_issue"), F.col("_area"), F.col("_mood")
-    broken_safety = (
-        area.isin(*K.SAFETY_AREAS) & (mood == "Negative")
-        & has_any(low, tables.broken) & has_any(low, tables.safety_mentions)
-    )
-    return (
-        F.when(F.col("is_spam"), SPAM)
-        .when(has_any(low, tables.critical), CRITICAL)
-        .when((score <= 2) & has_any(low, tables.fraud), CRITICAL)
-        .when(issue == "Safety Concern", SAFETY)
-        .when(has_any(low, tables.safety_failure), SAFETY)
-        .when(broken_safety, SAFETY)
-        .when(issue.isin(*K.DEGRADED_ISSUES) & (score <= 3) & (mood == "Negative"), MAJOR)
-        .when(issue.isin(*K.SLOWDOWN_ISSUES) & (score <= 3) & has_any(low, tables.slowdown), MAJOR)
-        .when((score == 4) | (mood == "Neutral"), MINOR)
-        .when(score >= 4, NOTE)
-        .when(has_any(low, tables.praise), NOTE)
-        .otherwise(NONE)
+def _severity_step(tables: K.RuleTables) -> str:
+    """SQL for the outcome of the severity cascade."""
+    tests = (
+        ("is_spam", SPAM),
+        (any_word("_low", tables.critical), CRITICAL),
+        (f"score <= 2 AND {any_word('_low', tables.fraud)}", CRITICAL),
+        ("_issue = 'Safety Concern'", SAFETY),
+        (any_word("_low", tables.safety_failure), SAFETY),
+        (f"{_one_of('_area', K.SAFETY_AREAS)} AND _mood = 'Negative' AND {any_word('_low', tables.broken)} "
+         f"AND {any_word('_low', tables.safety_mentions)}", SAFETY),
+        (f"{_one_of('_issue', K.DEGRADED_ISSUES)} AND score <= 3 AND _mood = 'Negative'", MAJOR),
+        (f"{_one_of('_issue', K.SLOWDOWN_ISSUES)} AND score <= 3 AND {any_word('_low', tables.slowdown)}", MAJOR),
+        ("score = 4 OR _mood = 'Neutral'", MINOR),
+        ("score >= 4", NOTE),
+        (any_word("_low", tables.praise), NOTE),
     )
+    cases = " ".join(f"WHEN {test} THEN {step}" for test, step in tests)
+    return f"CASE {cases} ELSE {NONE} END"
 
 
-def _labels(tables: K.RuleTables) -> Column:
-    """Struct of the final labels, from the staged columns only."""
-    step, issue, area, mood = F.col("_step"), F.col("_issue"), F.col("_area"), F.col("_mood")
+def _labels(tables: K.RuleTables) -> str:
+    """SQL struct of the final labels, from the staged columns only."""
     spam_type, spam_area, spam_severity, spam_mood, spam_score = K.SPAM_LABELS
-    unknown = issue == "Unknown"
-
-    issue_type = (
-        F.when(step == SPAM, spam_type)
-        .when(step == SAFETY, "Safety Concern")
-        .when(unknown & step.isin(CRITICAL, MAJOR), "Performance")
-        .when(unknown & (step == NOTE), "Praise")
-        .otherwise(issue)
-    )
-    severity = (
-        F.when(step == SPAM, spam_severity)
-        .when(step.isin(CRITICAL, SAFETY), "P0")
-        .when(step == MAJOR, "P1")
-        .when(step == MINOR, "P2")
-        .when(step == NOTE, "FYI")
-    )
-    sentiment = (
-        F.when(step == SPAM, spam_mood).when(step == NOTE, "Positive").otherwise(mood)
-    )
-    table_score = _by_label(issue, [(name, score) for name, score, _ in tables.issues], 0.0)
-    issue_score = (
-        F.when(step == CRITICAL, K.CRITICAL_SCORE)
-        .when(step == SAFETY, K.SAFETY_SCORE)
-        .when(step == MAJOR, K.MAJOR_SCORE)
-        .when(step == MINOR, K.MINOR_SCORE)
-        .when(step == NOTE, F.greatest(table_score, F.lit(K.MINOR_SCORE)))
-        .otherwise(table_score)
-    )
-    feature_score = F.when(area == "Unknown", 0.0).otherwise(K.FEATURE_SCORE)
-    mood_score = _by_label(
-        mood,
-        [("Positive", K.POSITIVE_SCORE), ("Neutral", K.NEUTRAL_SCORE), ("Negative", K.NEGATIVE_SCORE)],
-        0.0,
-    )
-    confidence = (
-        F.when(step == SPAM, spam_score)
-        .otherwise(F.greatest(feature_score, issue_score, mood_score))
-    )
-    return F.struct(
-        issue_type.alias("issue_type"),
-        F.when(step == SPAM, spam_area).otherwise(area).alias("feature_area"),
-        severity.alias("severity"),
-        sentiment.alias("sentiment"),
-        confidence.alias("confidence_score"),
-        F.lit("rule_engine").alias("classification_source"),
-        F.col("is_spam").alias("is_spam"),
-    )
+    table_score = " ".join(f"WHEN {sql_string(name)} THEN {score}D" for name, score, _ in tables.issues)
+    table_score = f"CASE _issue {table_score} ELSE 0D END"
+    return f"""named_struct(
+        'issue_type', CASE WHEN _step = {SPAM} THEN {sql_string(spam_type)}
+            WHEN _step = {SAFETY} THEN 'Safety Concern'
+            WHEN _issue = 'Unknown' AND _step IN ({CRITICAL}, {MAJOR}) THEN 'Performance'
+            WHEN _issue = 'Unknown' AND _step = {NOTE} THEN 'Praise'
+            ELSE _issue END,
+        'feature_area', CASE WHEN _step = {SPAM} THEN {sql_string(spam_area)} ELSE _area END,
+        'severity', CASE WHEN _step = {SPAM} THEN {sql_string(spam_severity)}
+            WHEN _step IN ({CRITICAL}, {SAFETY}) THEN 'P0' WHEN _step = {MAJOR} THEN 'P1'
+            WHEN _step = {MINOR} THEN 'P2' WHEN _step = {NOTE} THEN 'FYI' END,
+        'sentiment', CASE WHEN _step = {SPAM} THEN {sql_string(spam_mood)}
+            WHEN _step = {NOTE} THEN 'Positive' ELSE _mood END,
+        'confidence_score', CASE WHEN _step = {SPAM} THEN {spam_score}D ELSE greatest(
+            CASE WHEN _area = 'Unknown' THEN 0D ELSE {K.FEATURE_SCORE}D END,
+            CASE _step WHEN {CRITICAL} THEN {K.CRITICAL_SCORE}D WHEN {SAFETY} THEN {K.SAFETY_SCORE}D
+                WHEN {MAJOR} THEN {K.MAJOR_SCORE}D WHEN {MINOR} THEN {K.MINOR_SCORE}D
+                WHEN {NOTE} THEN greatest({table_score}, {K.MINOR_SCORE}D) ELSE {table_score} END,
+            CASE _mood WHEN 'Positive' THEN {K.POSITIVE_SCORE}D WHEN 'Neutral' THEN {K.NEUTRAL_SCORE}D
+                WHEN 'Negative' THEN {K.NEGATIVE_SCORE}D ELSE 0D END) END,
+        'classification_source', 'rule_engine',
+        'is_spam', is_spam)"""
 
 
 def classify(df: DataFrame, content: str = "content", tables: K.RuleTables = K.DEFAULT_TABLES) -> DataFrame:
@@ -130,12 +99,12 @@ def classify(df: DataFrame, content: str = "content", tables: K.RuleTables = K.D
     staged = (
         df.select(*kept, redact_pii(F.col(content)).alias("text"))
         .select("*", F.lower("text").alias("_low"), is_low_signal(F.col("text")).alias("is_spam"),
-                rating_sentiment(F.col("score")).alias("_mood"))
-        .select("*", first_match(F.col("_low"), tables.features).alias("_area"))
-        .select("*", first_match(F.col("_low"), [(n, w) for n, _, w in tables.issues]).alias("_issue"))
-        .select("*", _severity_step(tables).alias("_step"))
+                F.expr(SENTIMENT).alias("_mood"))
+        .select("*", F.expr(first_match("_low", tables.features)).alias("_area"),
+                F.expr(first_match("_low", [(n, w) for n, _, w in tables.issues])).alias("_issue"))
+        .select("*", F.expr(_severity_step(tables)).alias("_step"))
     )
-    return staged.select(*kept, "text", F.inline(F.array(_labels(tables))))
+    return staged.select(*kept, "text", F.expr(f"inline(array({_labels(tables)}))"))
 
 
 def needs_external_label(confidence: Column, feature_area: Column, severity: Column) -> Column:

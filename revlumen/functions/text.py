@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +37,11 @@ def is_low_signal(text: Column, min_letters: int = MIN_LETTERS) -> Column:
     return ~text.rlike("(?:[a-zA-Z][^a-zA-Z]*+){%d}" % min_letters)
 
 
-def has_any(text: Column, words) -> Column:
-    """True when ``text`` contains one of ``words``."""
-    if not words:
-        return F.lit(False)
-    return reduce(or_, (text.contains(word) for word in words))
+def sql_string(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def any_word(column: str, words) -> str:
+    """SQL test for a column that contains one of ``words``."""
+    return "(" + (" OR ".join(f"contains({column}, {sql_string(w)})" for w in words) or "false") + ")"

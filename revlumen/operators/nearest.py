@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,13 +24,15 @@ MAX_SHIPPED_QUERIES = 2048
 QUERIES_PER_CELL = 512
 ROWS_PER_CELL = 65536
 DISTANCE_DIGITS = 6
+# Entries of one distance block held in memory at a time.
+BLOCK_ENTRIES = 2_000_000
 
 
 def _matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column with the right length and finite values."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    lengths = pa.compute.fill_null(pa.compute.list_value_length(column), -1)
+    lengths = pc.fill_null(pc.list_value_length(column), -1)
     right = np.asarray(lengths) == dimensions
     kept = column.filter(pa.array(right))
     flat = kept.flatten()
@@ -71,8 +74,11 @@ class _Leaders:
         self.kept = [(None, None)] * len(queries)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(ids):
-            return
+        step = max(self.k, BLOCK_ENTRIES // max(1, len(self.queries)))
+        for start in range(0, len(ids), step):
+            self._add_block(ids[start:start + step], vectors[start:start + step])
+
+    def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         scores = _distances(vectors, self.queries, self.metric)
         for q, row in enumerate(scores):
             own, dist = self.kept[q]
@@ -95,10 +101,13 @@ class _Leaders:
 
 
 def _ids(column) -> np.ndarray:
+    if pa.types.is_integer(column.type) and column.null_count == 0:
+        return column.to_numpy()
     return np.array(column.to_pylist(), dtype=object)
 
 
-def _candidate_table(leaders: _Leaders, query_ids, schema: pa.Schema) -> list[list]:
+def _candidate_columns(leaders: _Leaders, query_ids) -> list[list]:
+    """query_id, id and distance of the candidates, as lists."""
     columns = [[], [], []]
     for q, ids, dist in leaders.rows():
         columns[0].extend([query_ids[q]] * len(ids))
@@ -128,7 +137,7 @@ def _shipped_candidates(vectors: DataFrame, shipped, k: int, metric: str, schema
         for batch in batches:
             values, kept = _matrix(batch.column(1), queries.shape[1])
             leaders.add(_ids(batch.column(0).take(pa.array(kept))), values)
-        columns = _candidate_table(leaders, ids, arrow_schema)
+        columns = _candidate_columns(leaders, ids)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
 
@@ -161,7 +170,7 @@ def _grid_candidates(vectors: DataFrame, queries: DataFrame, query_count: int, k
             leaders = _Leaders(matrix, k, metric)
             values, kept = _matrix(left.column("vector"), dimensions)
             leaders.add(_ids(left.column("id").take(pa.array(kept))), values)
-            columns = _candidate_table(leaders, right.column("query_id").take(pa.array(asked)).to_pylist(), arrow_schema)
+            columns = _candidate_columns(leaders, right.column("query_id").take(pa.array(asked)).to_pylist())
         return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
 
     return rows.groupBy("_q", "_r").cogroup(asks.groupBy("_q", "_r")).applyInArrow(score, schema)

@@ -62,7 +62,9 @@ def analyze_metadata(rows: DataFrame, available: int | None = None, labels: Data
     reason = F.col("fallback_reason")
     failed = reason.isin("timeout", "rate_limited", "provider_failure")
     asked = hybrid | failed
-    order = F.struct(F.coalesce(optional(rows, "review_ts", "timestamp"), F.timestamp_seconds(F.lit(0))).alias("t"))
+    moment = F.coalesce(optional(rows, "review_ts", "timestamp"), F.timestamp_seconds(F.lit(0)))
+    place = F.col("seq") if "seq" in rows.columns else F.col("review_id")
+    order = F.struct((-F.unix_micros(moment)).alias("age"), place.alias("place"))
     sums = rows.agg(
         F.count("*").alias("total_reviews_input"),
         F.count_if(spam).alias("filtered_spam"),
@@ -72,8 +74,8 @@ def analyze_metadata(rows: DataFrame, available: int | None = None, labels: Data
         F.count_if(reason == "rate_limited").alias("rate_limit_count"),
         F.count_if(failed).alias("retry_count"),
         F.count_if(reason == "budget_guardrail").alias("budget_guardrail_count"),
-        # Newest first, so the oldest asked row is the last call.
-        F.coalesce(F.min_by(F.when(asked, failed), F.when(asked, order)), F.lit(False)).alias("_last_failed"),
+        # Calls go newest first, so the oldest asked row is the last call.
+        F.coalesce(F.max_by(F.when(asked, failed), F.when(asked, order)), F.lit(False)).alias("_last_failed"),
     )
     n, done = F.col("total_reviews_input"), F.col("total_reviews_input") - F.col("filtered_spam")
     total = F.lit(available).cast("bigint") if available is not None else n

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlumen.functions.text import sql_string
+
 # Review texts, one per residue of the template formula.
 TEMPLATES = (
     "I can't login to my account since the update",
@@ -57,7 +59,8 @@ PAYLOAD_DATES = ("date", "updated", "updatedAt", "created", "createdAt")
 
 def pick(values, index: Column) -> Column:
     """The element of a literal list at a 0-based index column."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    literal = F.expr("array(" + ", ".join(sql_string(v) for v in values) + ")")
+    return F.element_at(literal, (index + 1).cast("int"))
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,11 +143,12 @@ def store_links_from_events(events: DataFrame) -> DataFrame:
 
 
 def external_labels_from_events(events: DataFrame) -> DataFrame:
-    """One external answer per review, valid or not."""
+    """One external answer per review, valid or not; error events failed."""
     event, user = F.col("event_id"), F.col("user_id")
     return events.select(
         F.concat(F.lit("r"), event).alias("review_id"),
         pick(ANSWERS, (event + user) % len(ANSWERS)).alias("raw_response"),
+        F.when(F.col("event_type") == "error", pick(MESSAGES, event % len(MESSAGES))).alias("error_message"),
         F.floor(F.col("value")).cast("bigint").alias("input_tokens"),
         (user % 40).alias("output_tokens"),
         pick(MODELS, event % len(MODELS)).alias("model"),

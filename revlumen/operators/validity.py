@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 
 from revlumen.functions.timeutil import parse_ts
 from revlumen.schema import (
-    PLATFORMS, SENTIMENTS, SEVERITIES, blank_to_null, require,
+    OPTIONAL_TEXT_FIELDS, PLATFORMS, SENTIMENTS, SEVERITIES, blank_to_null, require,
 )
 
 # Field <- alias, and the integer prefix of a numeric string.
 ALIASES = {"review_id": "id", "review_created_at": "date", "user_name": "author"}
+TEXT_FIELDS = ("review_id", "content", "platform", *OPTIONAL_TEXT_FIELDS, *ALIASES.values())
 LEADING_INTEGER = r"^\s*([+-]?\d+)"
 EMBEDDING_TOKENS_PER_REVIEW = 55
 EMBEDDING_USD_PER_MILLION_TOKENS = 0.02
@@ -65,7 +66,7 @@ def normalize(df: DataFrame) -> DataFrame:
             else:
                 values[name] = F.when(F.col(name) == F.floor(name), F.col(name).cast("bigint"))
             present[name] = F.col(name).isNotNull()
-        elif _is_variant(df, name):
+        elif _is_variant(df, name) and name in TEXT_FIELDS:
             values[name], proper = _variant_text(name)
             bad.append(F.when(~proper, F.lit(name)))
         else:

@@ -223,7 +223,8 @@ def time_trends_query(bucket):
 
 
 def trend_top_keys_query(spark, folder):
-    return issues.trend_top_keys(issues.bucket_issue_counts(_analyzed(spark, folder), "day"))
+    keys = issues.trend_top_keys(issues.bucket_issue_counts(_analyzed(spark, folder), "day"))
+    return keys.select("time_bucket", "issue_key", "n", "rank")
 
 
 def severity_counts_query(spark, folder):
@@ -240,6 +241,12 @@ def spikes_query(bucket, threshold=2.0):
     return run
 
 
+def spikes_complete_weeks_query(spark, folder):
+    """Spikes of the last complete week."""
+    complete = filters.ReviewFilters(end_date="2024-01-28", end_inclusive_day=True)
+    return change.spikes(filters.filter_reviews(_analyzed(spark, folder), complete), "week", spike_ratio_threshold=1.0)
+
+
 def _two_windows(spark, folder):
     rows = _analyzed(spark, folder)
     split = F.lit(SPLIT_DATE).cast("timestamp")
@@ -493,6 +500,7 @@ QUERIES = {
     "feature_heatmap": feature_heatmap_query,
     "spikes_day": spikes_query("day", 1.0),
     "spikes_week": spikes_query("week", 1.0),
+    "spikes_complete_weeks": spikes_complete_weeks_query,
     "compare_metrics": compare_metrics_query,
     "compare_issues": compare_issues_query,
     "compare_regressions": compare_regressions_query,

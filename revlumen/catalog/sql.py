@@ -180,14 +180,14 @@ def time_trends(bucket: str) -> str:
              WHERE rn <= 3 GROUP BY time_bucket)""")
 
 
-def spikes(bucket: str, threshold: float, top_n: int = 10) -> str:
+def spikes(bucket: str, threshold: float, top_n: int = 10, scope: str = "true") -> str:
     return analyzed(
         f"""SELECT issue_key, (SELECT max(time_bucket) FROM per) AS bucket,
               {rounded('mean', 4)} AS baseline_rate, cur::DOUBLE AS current_rate,
               CASE WHEN mean > 0 THEN {rounded('cur / mean', 4)} END AS spike_score, true AS is_spike
             FROM scored WHERE cur >= 1 AND (mean = 0 OR cur / mean >= {threshold})
             ORDER BY spike_score DESC NULLS FIRST, issue_key COLLATE NOCASE LIMIT {top_n}""",
-        f"per AS (SELECT {bucket} AS time_bucket, issue_key, count(*) AS n FROM ana GROUP BY ALL)",
+        f"per AS (SELECT {bucket} AS time_bucket, issue_key, count(*) AS n FROM ana WHERE {scope} GROUP BY ALL)",
         """scored AS (
              SELECT issue_key,
                     coalesce(sum(n) FILTER (time_bucket = (SELECT max(time_bucket) FROM per)), 0)::BIGINT AS cur,
@@ -406,6 +406,7 @@ ORACLE_SQL = {
     "feature_heatmap": analyzed("SELECT feature_area, issue_type, count(*) AS review_count FROM ana GROUP BY ALL"),
     "spikes_day": spikes(DAY, 1.0),
     "spikes_week": spikes(WEEK, 1.0),
+    "spikes_complete_weeks": spikes(WEEK, 1.0, scope="review_ts < TIMESTAMP '2024-01-29'"),
     "compare_metrics": analyzed(
         f"""SELECT metric, baseline, current, {rounded('current - baseline', 4)} AS delta,
               CASE WHEN baseline <> 0 THEN {rounded('(current - baseline) / baseline', 4)} END AS delta_pct,

@@ -29,9 +29,11 @@ def spikes_from_counts(counts: DataFrame, min_baseline_count: int = 1,
     require(spike_ratio_threshold >= 1, "spike_ratio_threshold must be at least 1")
     require(top_n >= 1, "top_n must be at least 1")
     counts = counts.select("time_bucket", "issue_key", "n")
-    span = counts.groupBy("time_bucket").agg(F.count("*").alias("_keys"))
-    latest = span.agg(F.max("time_bucket").alias("v")).scalar()
-    earlier = span.agg((F.count("*") - 1).alias("v")).scalar()
+    # The reviews are summed along so that both plans share the counts' exchange.
+    span = counts.groupBy("time_bucket").agg(F.sum("n").alias("n")).agg(F.struct(
+        F.max("time_bucket").alias("latest"), (F.count("*") - 1).alias("earlier"),
+        F.sum("n").alias("reviews"))).scalar()
+    latest, earlier = span["latest"], span["earlier"]
     in_latest = F.col("time_bucket") == F.col("_latest")
     per_key = (
         counts.withColumn("_latest", latest).groupBy("issue_key", "_latest").agg(

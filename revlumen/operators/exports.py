@@ -72,19 +72,19 @@ def markdown_lines(df: DataFrame) -> DataFrame:
     plain = F.concat(F.lit("- ["), "severity", F.lit("] "), "feature_area", F.lit(" - "), "issue_type")
     body = df.select(section.alias("section"), F.col("seq").cast("bigint").alias("position"),
                      F.when(section < 3, urgent).otherwise(plain).alias("line"))
-    counts = body.groupBy("section").agg(F.count("*").alias("n"))
-    title = F.lit("")
-    for number, words in SECTION_TITLES.items():
-        title = F.when(F.col("section") == number, words).otherwise(title)
-    heads = counts.select("section", F.inline(F.array(
-        F.struct(F.lit(BLANK_POSITION).cast("bigint").alias("position"), F.lit("").alias("line")),
-        F.struct(F.lit(HEADER_POSITION).cast("bigint").alias("position"),
-                 F.concat(F.lit("*"), title, F.lit(" ("), F.col("n").cast("string"), F.lit(")*")).alias("line")),
-    )))
-    top = counts.agg(F.count("*").alias("n")).select(
-        F.lit(0).alias("section"), F.lit(TITLE_POSITION).cast("bigint").alias("position"),
-        F.when(F.col("n") > 0, REPORT_TITLE).otherwise(EMPTY_REPORT).alias("line"))
-    return top.unionByName(heads).unionByName(body)
+    counts = body.agg(*[F.count_if(F.col("section") == n).alias(f"n{n}") for n in SECTION_TITLES],
+                      F.count("*").alias("n"))
+
+    def head(number: int, position: int, line: Column, shown: Column) -> Column:
+        return F.when(shown, F.struct(F.lit(number).alias("section"),
+                                      F.lit(position).cast("bigint").alias("position"), line.alias("line")))
+
+    lines = [head(0, TITLE_POSITION, F.when(F.col("n") > 0, REPORT_TITLE).otherwise(EMPTY_REPORT), F.lit(True))]
+    for number, title in SECTION_TITLES.items():
+        shown, size = F.col(f"n{number}") > 0, F.col(f"n{number}").cast("string")
+        lines.append(head(number, BLANK_POSITION, F.lit(""), shown))
+        lines.append(head(number, HEADER_POSITION, F.concat(F.lit(f"*{title} ("), size, F.lit(")*")), shown))
+    return counts.select(F.inline(F.array_compact(F.array(*lines)))).unionByName(body)
 
 
 def write_markdown(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

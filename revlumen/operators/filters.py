@@ -81,18 +81,19 @@ def filter_reviews(df: DataFrame, filters: ReviewFilters | None) -> DataFrame:
     return df
 
 
-def match_cluster(df: DataFrame, issue_type: str | None = None, feature_area: str | None = None,
-                  include_unknown_only: bool = False) -> DataFrame:
-    """Rows of one issue type and/or area, compared without case."""
+def cluster_predicate(issue_type: str | None = None, feature_area: str | None = None,
+                      include_unknown_only: bool = False) -> Column:
+    """Test for one issue type and/or area, compared without case."""
     kind = F.lower(F.coalesce(F.col("issue_type"), F.lit("")))
     area = F.lower(F.coalesce(F.col("feature_area"), F.lit("")))
+    parts = [F.lit(True)]
     if include_unknown_only:
-        df = df.where((kind == "unknown") | (area == "unknown"))
+        parts.append((kind == "unknown") | (area == "unknown"))
     for column, wanted in ((kind, issue_type), (area, feature_area)):
         wanted = (wanted or "").strip().lower()
         if wanted:
-            df = df.where(column == wanted)
-    return df
+            parts.append(column == wanted)
+    return reduce(and_, parts)
 
 
 def newest_first(df: DataFrame, limit: int) -> DataFrame:

@@ -15,6 +15,7 @@ from revlumen.schema import optional, or_default, require
 EXAMPLES_PER_ISSUE = 3
 SEGMENT_DIMENSIONS = ("app_version", "os_version", "device", "locale", "platform", "rating_bucket")
 CLUSTER = ("issue_type", "feature_area")
+MEASURES = ("review_count", "p0_count", "p1_count", "p2_count", "fyi_count", "avg_rating")
 
 
 def issue_key(issue_type: Column, feature_area: Column) -> Column:
@@ -64,9 +65,16 @@ def cluster_order() -> list[Column]:
             locale_key(F.col("issue_key")).asc()]
 
 
-def total_of(aggregate: DataFrame, column: str = "review_count") -> Column:
-    """Grand total as a scalar subquery; it reuses the aggregate's exchange."""
-    return aggregate.agg(F.coalesce(F.sum(column), F.lit(0)).cast("bigint").alias("total")).scalar()
+def totals_of(aggregate: DataFrame, measures) -> Column:
+    """Sums of all ``measures`` as one scalar struct.
+
+    A total of one measure alone would be planned over a pruned copy of the
+    aggregate and scan the input again. Summing every measure the caller
+    keeps makes both plans alike, so they share one exchange.
+    """
+    sums = [F.coalesce(F.sum(m), F.lit(0)).cast("double" if m == "avg_rating" else "bigint").alias(m)
+            for m in measures]
+    return aggregate.agg(F.struct(*sums).alias("totals")).scalar()
 
 
 def example_ids(df: DataFrame, per_issue: int = EXAMPLES_PER_ISSUE) -> DataFrame:
@@ -89,8 +97,8 @@ def example_ids(df: DataFrame, per_issue: int = EXAMPLES_PER_ISSUE) -> DataFrame
 def top_issues(df: DataFrame, filters: ReviewFilters | None = None, limit: int = 25) -> DataFrame:
     """The largest clusters with share, severities, rating and example ids."""
     rows = filter_reviews(df, filters)
-    clusters = issue_clusters(rows)
-    total = total_of(clusters)
+    clusters = issue_clusters(rows).drop("dated_count")
+    total = totals_of(clusters, MEASURES)["review_count"]
     leading = clusters.orderBy(*cluster_order()).limit(max(1, limit))
     joined = leading.join(example_ids(rows), list(CLUSTER), "left")
     return joined.select(
@@ -174,16 +182,16 @@ def bucket_issue_counts(df: DataFrame, bucket: str) -> DataFrame:
 def trend_top_keys(counts: DataFrame, limit: int = 3) -> DataFrame:
     """Leading issue keys per bucket with their rank."""
     order = W.partitionBy("time_bucket").orderBy(F.col("n").desc(), locale_key(F.col("issue_key")).asc())
-    ranked = counts.select("time_bucket", "issue_key", "n", F.row_number().over(order).alias("rank"))
-    return ranked.where(F.col("rank") <= max(1, limit))
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, limit))
 
 
 def time_trends(df: DataFrame, bucket: str = "week", top_issue_limit: int = 3,
                 filters: ReviewFilters | None = None) -> DataFrame:
     """Volume, negative share, severities and leading issues per bucket.
 
-    Both branches read the same small (bucket, cluster) aggregate; its
-    exchange is shared.
+    Both branches read the same small (bucket, cluster) aggregate. The ranked
+    branch carries every measure along, so the plans are alike and share the
+    aggregate's exchange.
     """
     counts = bucket_issue_counts(filter_reviews(df, filters), bucket)
     totals = counts.groupBy("time_bucket").agg(
@@ -192,7 +200,8 @@ def time_trends(df: DataFrame, bucket: str = "week", top_issue_limit: int = 3,
     )
     leading = (
         trend_top_keys(counts, top_issue_limit).groupBy("time_bucket")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "issue_key"))).alias("_keys"))
+        .agg(F.array_sort(F.collect_list(
+            F.struct("rank", "issue_key", "n", "negative", "p0", "p1", "p2"))).alias("_keys"))
     )
     joined = totals.join(leading, "time_bucket")
     return joined.select(

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlumen.functions.numbers import round_to
-from revlumen.operators.issues import cluster_order, issue_clusters, total_of
+from revlumen.operators.issues import cluster_order, issue_clusters, totals_of
 from revlumen.schema import OWNERSHIP_RULE, blank_to_null, require
 
 
+DRIVER_MEASURES = ("review_count", "p0_count", "p1_count", "avg_rating", "dated_count")
+
+
 @dataclass(frozen=True)
 class PriorityWeights:
     # Default weights of the four drivers.
@@ -39,7 +42,8 @@ def score_clusters(clusters: DataFrame, weights: PriorityWeights = PriorityWeigh
                    max_clusters: int | None = None) -> DataFrame:
     """``priority_scores`` over cluster rows; ``max_clusters`` keeps the largest."""
     require(top_n >= 1, "top_n must be at least 1")
-    total = total_of(clusters)
+    clusters = clusters.select("issue_key", *DRIVER_MEASURES)
+    total = totals_of(clusters, DRIVER_MEASURES)["review_count"]
     if max_clusters is not None:
         clusters = clusters.orderBy(*cluster_order()).limit(max_clusters)
     drivers = clusters.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlumen.operators.filters import (
-    ReviewFilters, filter_reviews, match_cluster, newest_first, window_filters,
+    ReviewFilters, filter_reviews, cluster_predicate, newest_first, window_filters,
 )
 from revlumen.schema import require
 
@@ -20,7 +20,8 @@ def cluster_reviews(df: DataFrame, issue_type: str | None = None, feature_area:
     """The newest reviews of a cluster."""
     require(1 <= max_results <= MAX_RESULTS, f"max_results must be 1..{MAX_RESULTS}")
     considered = filter_reviews(df, window_filters(window, reference_date, filters))
-    return newest_first(match_cluster(considered, issue_type, feature_area, include_unknown_only), max_results)
+    matched = considered.where(cluster_predicate(issue_type, feature_area, include_unknown_only))
+    return newest_first(matched, max_results)
 
 
 def cluster_counts(df: DataFrame, issue_type: str | None = None, feature_area: str | None = None,
@@ -29,9 +30,9 @@ def cluster_counts(df: DataFrame, issue_type: str | None = None, feature_area: s
     """Considered, matched and returned rows and the date range applied."""
     applied = window_filters(window, reference_date, filters)
     considered = filter_reviews(df, applied)
-    matched = match_cluster(considered, issue_type, feature_area, include_unknown_only)
-    hits = matched.agg(F.count("*").alias("n")).scalar()
-    counts = considered.agg(F.count("*").alias("total_reviews_considered")).withColumn("total_cluster_matches", hits)
+    counts = considered.agg(
+        F.count("*").alias("total_reviews_considered"),
+        F.count_if(cluster_predicate(issue_type, feature_area, include_unknown_only)).alias("total_cluster_matches"))
     return counts.withColumns({
         "returned": F.least("total_cluster_matches", F.lit(max_results).cast("bigint")),
         "start_date": F.lit(applied.start_date if applied else None).cast("string"),

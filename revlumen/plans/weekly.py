@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from revlumen.functions.numbers import locale_key, round_to
 from revlumen.operators.change import spikes_from_counts
 from revlumen.operators.issues import (
-    cluster_order, clusters_from_cube, feature_heatmap, report_cube, report_totals, severity_counts, total_of,
+    cluster_order, clusters_from_cube, feature_heatmap, report_cube, report_totals, severity_counts, totals_of,
 )
 from revlumen.operators.priority import map_clusters, score_clusters
 from revlumen.operators.themes import theme_list
+from revlumen.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -27,12 +28,16 @@ class WeeklyReport:
 
 
 def weekly_report(df: DataFrame, rules: DataFrame | None = None, top_n: int = 5) -> WeeklyReport:
-    """Five small frames over one shared (day, cluster) aggregate."""
-    cube = report_cube(df, "day")
+    """Five small frames over one shared (day, cluster) aggregate.
+
+    The aggregate is checkpointed: it holds one row per day and cluster, and
+    without it each frame would scan and classify the reviews again.
+    """
+    cube = checkpointed(report_cube(df, "day"))
     clusters = clusters_from_cube(cube)
     spikes = spikes_from_counts(cube.where(F.col("time_bucket").isNotNull())
                                 .groupBy("time_bucket", "issue_key").agg(F.sum("n").alias("n")), top_n=top_n)
-    total = total_of(clusters)
+    total = totals_of(clusters, ("review_count",))["review_count"]
     leading = clusters.orderBy(*cluster_order()).limit(top_n).withColumn(
         "affected_share", round_to(F.col("review_count") / F.greatest(total, F.lit(1)), 4))
     owners = None if rules is None else map_clusters(clusters, rules, include_unmapped=False, top_n=top_n)

@@ -42,6 +42,13 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def shortest_words(words) -> list[str]:
+    """The words without those that contain another one, which never decide."""
+    unique = list(dict.fromkeys(words))
+    return [w for w in unique if not any(other != w and other in w for other in unique)]
+
+
 def any_word(column: str, words) -> str:
     """SQL test for a column that contains one of ``words``."""
-    return "(" + (" OR ".join(f"contains({column}, {sql_string(w)})" for w in words) or "false") + ")"
+    tests = [f"contains({column}, {sql_string(w)})" for w in shortest_words(words)]
+    return f"({' OR '.join(tests) or 'false'})"

@@ -77,7 +77,10 @@ def filter_reviews(df: DataFrame, filters: ReviewFilters | None) -> DataFrame:
         ("feature_area", filters.feature_areas), ("issue_type", filters.issue_types),
     ):
         if allowed:
-            df = df.where(F.coalesce(optional(df, name), F.lit("")).isin(*allowed))
+            # A missing value counts as "", which matters only if "" is listed;
+            # otherwise the plain test can be pushed into the scan.
+            value = optional(df, name)
+            df = df.where((F.coalesce(value, F.lit("")) if "" in allowed else value).isin(*allowed))
     return df
 
 

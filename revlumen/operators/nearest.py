@@ -23,6 +23,7 @@ METRICS = ("cosine", "l2")
 MAX_SHIPPED_QUERIES = 2048
 QUERIES_PER_CELL = 512
 ROWS_PER_CELL = 65536
+MERGE_GROUPS = 64
 
 
 def _result_schema(queries_type: T.DataType, id_type: T.DataType) -> T.StructType:
@@ -105,5 +106,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
         candidates = _shipped_candidates(rows, shipped, k, metric, schema)
     else:
         candidates = _grid_candidates(rows, asks, asks.count(), k, metric, schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return (candidates.withColumn("relevance_rank", rank - 1).where(F.col("relevance_rank") < k))
+    # Two steps, so that no task meets the candidates of all tasks at once.
+    grouped = candidates.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(MERGE_GROUPS)))
+    merged = _leading(grouped, ["query_id", "_part"], k).drop("_rn", "_part")
+    return _leading(merged, ["query_id"], k).withColumn("relevance_rank", F.col("_rn") - 1).drop("_rn")
+
+
+def _leading(df: DataFrame, keys, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("distance", "id"))
+    return df.withColumn("_rn", rank).where(F.col("_rn") <= k)

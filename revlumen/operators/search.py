@@ -15,6 +15,8 @@ from revlumen.schema import blank_to_null, optional, require
 # Default result size and candidates taken before a date sort.
 DEFAULT_LIMIT = 5
 DATE_SORT_CANDIDATES = 5000
+# Hits are bounded by the limit or candidate count; up to this many are broadcast.
+MAX_BROADCAST_HITS = 10000
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,10 @@ def search(index: DataFrame, query_vector, options: SearchOptions = SearchOption
         hits = nearest(rows, query, options.limit, metric)
     else:
         hits = nearest(rows, query, bound, metric)
-    found = hits.select("id", "relevance_rank").join(rows.drop("embedding"), "id", "left")
+    hits = hits.select("id", "relevance_rank")
+    if (bound or options.limit) <= MAX_BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    found = rows.drop("embedding").join(hits, "id")
     if bound is not None:
         found = filter_hits(found, options)
     return sort_hits(found, options).limit(options.limit)
@@ -106,6 +111,24 @@ def search_metadata(index: DataFrame, options: SearchOptions = SearchOptions())
     return sort_hits(filter_hits(rows, options), options).limit(options.limit)
 
 
+def attach_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Join hits to a separate metadata table.
+
+    A hit without metadata keeps the ``title`` and ``url`` it came with.
+    """
+    known = metadata.select("id", *[F.col(c).alias(f"_{c}") for c in metadata.columns if c != "id"])
+    joined = hits.join(known, "id", "left")
+
+    def own(name: str) -> Column:
+        return optional(joined, f"_{name}", "int" if name == "score" else "string")
+
+    date = F.coalesce(blank_to_null(own("date")), own("review_created_at"))
+    return joined.select(
+        "id", "relevance_rank", F.coalesce(blank_to_null(own("author")), optional(hits, "title")).alias("author"),
+        F.coalesce(blank_to_null(own("content")), optional(hits, "url")).alias("content"),
+        own("score").alias("score"), date.alias("date"))
+
+
 def search_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMIT, metric: str = "cosine") -> DataFrame:
     """Nearest rows for every query of a table."""
     return nearest(index, queries, k, metric)

@@ -32,14 +32,16 @@ def with_input_order(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv_reviews(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; every column stays a string.
 
     Quotes double inside quoted fields and records may span lines. An
-    unquoted empty cell is the empty string, as in the file.
+    unquoted empty cell is the empty string, as in the file. A file whose
+    records may span lines is one task; ``multi_line=False`` lets large files
+    without such records split.
     """
     raw = (
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+        spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
         .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
     )
     ordered = with_input_order(raw)

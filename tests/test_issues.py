@@ -29,6 +29,7 @@ def test_filter_bad_bound_still_needs_a_date(spark):
     assert ids(filter_reviews(df, ReviewFilters(start_date="soon"))) == ["r1"]
     assert ids(filter_reviews(df, ReviewFilters(severities=["P1"]))) == ["r1"]
     assert ids(filter_reviews(df, None)) == ["r1", "x", "y"]
+    assert ids(filter_reviews(df, ReviewFilters(severities=["", "P0"]))) == ["x", "y"]
 
 
 def test_top_issues(six):

@@ -109,3 +109,18 @@ def test_index_status(index):
 def test_bad_options(options):
     with pytest.raises(ValueError):
         S.SearchOptions(**options)
+
+
+def test_metadata_join_falls_back_to_title_and_url(spark):
+    hits = spark.createDataFrame([(1, 0, "T", "U"), (2, 1, "T", "U")], "id int, relevance_rank int, title string, url string")
+    meta = spark.createDataFrame([(1, "Ann", "", 3, "", "2026-02-01")],
+                                 "id int, author string, content string, score int, date string, review_created_at string")
+    got = sorted(rows(S.attach_metadata(hits, meta)))
+    assert got == [(1, 0, "Ann", "U", 3, "2026-02-01"), (2, 1, "T", "U", None, None)]
+
+
+def test_workers_do_not_need_the_package(spark, data):
+    """The kernel travels by value."""
+    from pyspark import cloudpickle
+    from revlumen.functions import vectors
+    assert b"revlumen.functions.vectors" not in cloudpickle.dumps(vectors.Leaders).split(b"__module__")[0]

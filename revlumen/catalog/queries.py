@@ -190,8 +190,8 @@ def top_issues_query(spark, folder):
 
 def top_issues_window_query(spark, folder):
     """The default scope of the tool: this week up to the reference date."""
-    chosen = filters.window_filters("this_week", REFERENCE_DATE)
-    return _flat_issues(issues.top_issues(_analyzed(spark, folder), chosen))
+    scoped = drilldown.scoped_top_issues(_analyzed(spark, folder), REFERENCE_DATE)
+    return _flat_issues(scoped).drop("window_applied", "start_date", "end_date")
 
 
 FILTERS = filters.ReviewFilters(

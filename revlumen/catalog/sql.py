@@ -600,7 +600,8 @@ ORACLE_SQL = {
         ORDER BY coalesce(made, TIMESTAMP '1970-01-01'), relevance_rank LIMIT 20""",
     "search_metadata": f"""
         WITH {INDEX}
-        SELECT id, 0 AS relevance_rank, author, content, score, date FROM scored WHERE score >= 3
+        SELECT id, 0 AS relevance_rank, CASE WHEN id % 9 <> 0 THEN author END AS author, content, score, date
+        FROM scored WHERE score >= 3
         ORDER BY coalesce(made, TIMESTAMP '1970-01-01') DESC, id LIMIT 50""",
     "knn_batch": f"""
         WITH {INDEX},

@@ -98,7 +98,7 @@ def classify(df: DataFrame, content: str = "content", tables: K.RuleTables = K.D
     kept = [c for c in df.columns if c not in LABEL_COLUMNS and c != "text"]
     staged = (
         df.select(*kept, redact_pii(F.col(content)).alias("text"))
-        .select("*", F.lower("text").alias("_low"), is_low_signal(F.col("text")).alias("is_spam"),
+        .select("*", F.lower("text").alias("_low"), F.coalesce(is_low_signal(F.col("text")), F.lit(True)).alias("is_spam"),
                 F.expr(SENTIMENT).alias("_mood"))
         .select("*", F.expr(first_match("_low", tables.features)).alias("_area"),
                 F.expr(first_match("_low", [(n, w) for n, _, w in tables.issues])).alias("_issue"))

@@ -37,6 +37,11 @@ def is_low_signal(text: Column, min_letters: int = MIN_LETTERS) -> Column:
     return ~text.rlike("(?:[a-zA-Z][^a-zA-Z]*+){%d}" % min_letters)
 
 
+def is_blank(value: Column) -> Column:
+    """True for a missing value and for one of white space only."""
+    return F.coalesce(~value.rlike("[^" + SPACES[1:]), F.lit(True))
+
+
 def sql_string(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
@@ -19,12 +20,26 @@ LOOKBACK_DAYS = {
     "last_12_months": 364,
 }
 WINDOWS = ("this_week", *LOOKBACK_DAYS)
+# Other date spellings that count as dates, as (Spark pattern, Python pattern).
+OTHER_DATE_FORMATS = (
+    ("yyyy/M/d", "%Y/%m/%d"),
+    ("M/d/yyyy", "%m/%d/%Y"),
+    ("MMM d, yyyy", "%b %d, %Y"),
+    ("MMMM d, yyyy", "%B %d, %Y"),
+    ("d MMM yyyy HH:mm:ss z", "%d %b %Y %H:%M:%S %Z"),
+)
+WEEKDAY_PREFIX = "^[A-Za-z]{3}, "
 BUCKET_UNITS = {"day": "DAY", "week": "WEEK"}
 
 
 def parse_ts(value: Column) -> Column:
-    """Timestamp of an ISO string; null where it is blank or no date."""
-    return F.try_to_timestamp(value)
+    """Timestamp of a date string, ISO first; null where it is blank or no date.
+
+    The other spellings are tried only on rows that are not ISO.
+    """
+    bare = F.regexp_replace(value, WEEKDAY_PREFIX, "")
+    others = [F.try_to_timestamp(bare, F.lit(pattern)) for pattern, _ in OTHER_DATE_FORMATS]
+    return F.coalesce(F.try_to_timestamp(value), *others)
 
 
 def time_bucket(ts: Column, unit: str = "day") -> Column:
@@ -34,19 +49,32 @@ def time_bucket(ts: Column, unit: str = "day") -> Column:
 
 
 def parse_instant(value) -> datetime | None:
-    """UTC instant of an ISO string, date or datetime; None if it is neither."""
+    """UTC instant of a date string, date or datetime; None if it is neither."""
     if isinstance(value, datetime):
         parsed = value
     elif isinstance(value, date):
         parsed = datetime(value.year, value.month, value.day)
     else:
-        try:
-            parsed = datetime.fromisoformat(str(value).strip())
-        except ValueError:
+        parsed = _parse_text(str(value).strip())
+        if parsed is None:
             return None
     return parsed.replace(tzinfo=timezone.utc) if parsed.tzinfo is None else parsed.astimezone(timezone.utc)
 
 
+def _parse_text(text: str) -> datetime | None:
+    try:
+        return datetime.fromisoformat(text)
+    except ValueError:
+        pass
+    bare = re.sub(WEEKDAY_PREFIX, "", text)
+    for _, pattern in OTHER_DATE_FORMATS:
+        try:
+            return datetime.strptime(bare, pattern)
+        except ValueError:
+            continue
+    return None
+
+
 @dataclass(frozen=True)
 class DateRange:
     start_date: str

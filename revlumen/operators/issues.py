@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlumen.functions.numbers import locale_key, ratio, round_to
+from revlumen.functions.text import is_blank
 from revlumen.functions.timeutil import time_bucket
 from revlumen.operators.filters import ReviewFilters, filter_reviews, review_time
 from revlumen.schema import optional, or_default, require
@@ -122,7 +123,7 @@ def segment_value(df: DataFrame, dimension: str) -> Column:
     if dimension == "rating_bucket":
         return rating_bucket(optional(df, "score", "int"))
     value = optional(df, dimension)
-    return F.when(F.trim(value) != "", value).otherwise("unknown")
+    return F.when(is_blank(value), "unknown").otherwise(value)
 
 
 def _segment_aggregate(rows: DataFrame) -> DataFrame:

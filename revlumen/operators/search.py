@@ -40,12 +40,15 @@ class SearchOptions:
         require(len(bounds) < 2 or bounds[0] <= bounds[1], "start_date must not follow end_date")
 
 
-def metadata_columns(df: DataFrame) -> list[Column]:
+def metadata_columns(df: DataFrame, stand_ins: bool = True) -> list[Column]:
     """author, content, score and date of an index row; title and url stand in."""
+    author, content = optional(df, "author"), optional(df, "content")
+    if stand_ins:
+        author = F.coalesce(blank_to_null(author), optional(df, "title"))
+        content = F.coalesce(blank_to_null(content), optional(df, "url"))
     date = F.coalesce(blank_to_null(optional(df, "date")), optional(df, "review_created_at"))
     return [
-        F.coalesce(blank_to_null(optional(df, "author")), optional(df, "title")).alias("author"),
-        F.coalesce(blank_to_null(optional(df, "content")), optional(df, "url")).alias("content"),
+        author.alias("author"), content.alias("content"),
         optional(df, "score", "int").alias("score"),
         date.alias("date"),
     ]
@@ -107,7 +110,7 @@ def search(index: DataFrame, query_vector, options: SearchOptions = SearchOption
 
 def search_metadata(index: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Search without a query: every row ranks 0, then filters, sort, limit."""
-    rows = index.select("id", F.lit(0).alias("relevance_rank"), *metadata_columns(index))
+    rows = index.select("id", F.lit(0).alias("relevance_rank"), *metadata_columns(index, stand_ins=False))
     return sort_hits(filter_hits(rows, options), options).limit(options.limit)
 
 

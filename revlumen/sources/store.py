@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlumen.functions.timeutil import parse_ts
 from revlumen.schema import or_default
@@ -18,10 +19,25 @@ APPLE_ID_PATTERN = r"/id(\d+)"
 
 
 def payload_date(df: DataFrame, now: Column) -> Column:
-    """First date field that is present; ``now`` where it is absent or bad."""
-    present = [F.col(name) for name in PAYLOAD_DATE_FIELDS if name in df.columns]
-    raw = F.coalesce(*present) if present else F.lit(None).cast("string")
-    return F.coalesce(parse_ts(raw.cast("string")), now)
+    """First date field that is present; ``now`` where it is absent or bad.
+
+    Fields may be strings, timestamps or epoch milliseconds.
+    """
+    chosen = None
+    for name in PAYLOAD_DATE_FIELDS:
+        if name in df.columns:
+            value = _instant(F.col(name), df.schema[name].dataType)
+            given = F.col(name).isNotNull()
+            chosen = F.when(given, value) if chosen is None else chosen.when(given, value)
+    return now if chosen is None else F.coalesce(chosen, now)
+
+
+def _instant(value: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.NumericType):
+        return F.timestamp_millis(value.cast("bigint"))
+    if isinstance(dtype, T.StringType):
+        return parse_ts(value)
+    return value.cast("timestamp")
 
 
 def normalize_payload(df: DataFrame, platform: str, now: Column | None = None) -> DataFrame:

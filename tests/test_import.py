@@ -148,6 +148,15 @@ def test_store_payload(spark):
                    ("3", "Anonymous", "t", "Unknown", "2026-03-01T00:00:00.000Z")]
 
 
+def test_payload_dates_of_other_types(spark):
+    now = F.lit("2026-03-01 00:00:00").cast("timestamp")
+    df = spark.sql("select '1' id, '' userName, 't' text, 1 score, '' version, 1769904000000L date, "
+                   "timestamp'2026-05-01' updated union all "
+                   "select '2', '', 't', 1, '', null, timestamp'2026-05-01'")
+    got = rows(store.normalize_payload(df, "app_store", now).orderBy("review_id"), "review_created_at")
+    assert got == [("2026-02-01T00:00:00.000Z",), ("2026-05-01T00:00:00.000Z",)]
+
+
 def test_store_links(spark):
     df = spark.createDataFrame([
         ("https://play.google.com/store/apps/details?id=com.example.app&hl=en",),

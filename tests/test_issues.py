@@ -1,8 +1,10 @@
+from datetime import datetime, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SIX, analytics_frame, rows
-from revlumen.functions.timeutil import parse_ts, time_bucket, window_range, window_start
+from revlumen.functions.timeutil import parse_instant, parse_ts, time_bucket, window_range, window_start
 from revlumen.operators import change, issues, priority
 from revlumen.operators.filters import ReviewFilters, filter_reviews, window_filters
 from revlumen.plans import drilldown, weekly
@@ -115,6 +117,29 @@ def test_explicit_range_beats_window():
         window_filters("this_week", "not a date")
 
 
+def test_default_scope_is_this_week(six):
+    got = drilldown.scoped_top_issues(six, "2026-02-11T23:00:00Z")
+    assert rows(got, "window_applied", "start_date", "end_date", "total_reviews_considered")[0] == (
+        "this_week", "2026-02-09", "2026-02-11", 2)
+    dated = drilldown.scoped_top_issues(six, "2026-02-11", filters=ReviewFilters(start_date="2026-02-02"))
+    assert rows(dated, "window_applied", "start_date", "end_date")[0] == (None, "2026-02-02", None)
+    wide = drilldown.scoped_top_issues(six, "2026-02-12", window="last_30_days")
+    assert rows(wide, "total_reviews_considered")[0] == (6,)
+
+
+def test_other_date_spellings(spark):
+    texts = ["2026/2/8", "2/8/2026", "Feb 8, 2026", "February 8, 2026", "Sun, 8 Feb 2026 00:00:00 GMT", "8th of May"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string").select(parse_ts(F.col("d")).cast("string"))
+    assert [r[0] for r in rows(df)] == ["2026-02-08 00:00:00"] * 5 + [None]
+    assert [parse_instant(t) for t in texts] == [datetime(2026, 2, 8, tzinfo=timezone.utc)] * 5 + [None]
+
+
+def test_blank_segments(spark, six):
+    df = six.withColumn("device", F.when(F.col("seq") < 2, "\t ").when(F.col("seq") < 3, " Pixel "))
+    got = rows(issues.segment_breakdown(df, "device"), "segment_value", "issue_count")
+    assert got == [("unknown", 5), (" Pixel ", 1)]
+
+
 def test_lenient_dates_and_buckets(spark):
     df = spark.createDataFrame([("2026-02-08T23:30:00-02:00",), ("2026-02-08",), ("junk",), ("",), (None,)], "d string")
     got = rows(df.select(time_bucket(parse_ts(F.col("d")), "day"), time_bucket(parse_ts(F.col("d")), "week")))

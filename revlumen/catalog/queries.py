@@ -278,7 +278,7 @@ def ownership_map_query(spark, folder):
 
 
 def _weekly(spark, folder) -> weekly.WeeklyReport:
-    return weekly.weekly_report(_analyzed(spark, folder), priority.ownership_rules(spark, OWNERSHIP))
+    return weekly.weekly_report(_analyzed(spark, folder), priority.ownership_rules(spark, OWNERSHIP), examples=False)
 
 
 def weekly_summary_query(spark, folder):

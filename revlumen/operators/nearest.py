@@ -58,18 +58,17 @@ def _grid_candidates(vectors: DataFrame, queries: DataFrame, query_count: int, k
                      schema: T.StructType) -> DataFrame:
     """Candidates when there are too many queries to ship.
 
-    Rows and queries are cut into blocks of bounded size; each cell of the
-    grid is one group that scores its rows against its queries. Block numbers
-    come from row positions, so copies of one vector do not share a block.
+    Rows and queries are cut into blocks of about equal size by the hash of
+    their unique ids, so copies of one vector spread over all blocks. Each
+    cell of the grid is one group that scores its rows against its queries.
     """
     row_blocks = max(1, -(-vectors.count() // ROWS_PER_CELL))
     query_blocks = max(1, -(-query_count // QUERIES_PER_CELL))
     arrow_schema = to_arrow_schema(schema)
-    position = F.monotonically_increasing_id()
-    rows = vectors.select("id", "vector", F.pmod(F.xxhash64(position), F.lit(row_blocks)).alias("_r")).select(
+    rows = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).alias("_r")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_q"))
     asks = queries.select("query_id", "vector",
-                          F.pmod(F.xxhash64(position), F.lit(query_blocks)).cast("int").alias("_q")).select(
+                          F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("_q")).select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(row_blocks - 1).cast("bigint"))).alias("_r"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -15,6 +15,7 @@ from revlumen.schema import (
 # Field <- alias, and the integer prefix of a numeric string.
 ALIASES = {"review_id": "id", "review_created_at": "date", "user_name": "author"}
 TEXT_FIELDS = ("review_id", "content", "platform", *OPTIONAL_TEXT_FIELDS, *ALIASES.values())
+REQUIRED = {"review_id": "string", "content": "string", "score": "bigint"}
 LEADING_INTEGER = r"^\s*([+-]?\d+)"
 EMBEDDING_TOKENS_PER_REVIEW = 55
 EMBEDDING_USD_PER_MILLION_TOKENS = 0.02
@@ -43,7 +44,7 @@ def _variant_number(name: str) -> tuple[Column, Column]:
     is_number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     text = F.try_variant_get(F.col(name), "$", "string")
     value = (F.when(kind == "STRING", leading_integer(text))
-             .when(is_number & (number == F.floor(number)), number.cast("bigint")))
+             .when(is_number & (number % 1 == 0), number.try_cast("bigint")))
     return value, F.col(name).isNull() | (kind == "STRING") | is_number
 
 
@@ -64,7 +65,7 @@ def normalize(df: DataFrame) -> DataFrame:
             elif isinstance(df.schema[name].dataType, T.StringType):
                 values[name] = leading_integer(F.col(name))
             else:
-                values[name] = F.when(F.col(name) == F.floor(name), F.col(name).cast("bigint"))
+                values[name] = F.when(F.col(name) % 1 == 0, F.col(name).try_cast("bigint"))
             present[name] = F.col(name).isNotNull()
         elif _is_variant(df, name) and name in TEXT_FIELDS:
             values[name], proper = _variant_text(name)
@@ -72,14 +73,15 @@ def normalize(df: DataFrame) -> DataFrame:
         else:
             values[name] = F.col(name)
 
+    for name, dtype in REQUIRED.items():
+        values.setdefault(name, F.lit(None).cast(dtype))
     for field, alias in ALIASES.items():
         if alias in values:
             own = values.get(field, F.lit(None).cast("string"))
             values[field] = F.coalesce(blank_to_null(own), values[alias], own)
 
     # A required or counted field that was given but holds no integer is bad.
-    missing_score = values["score"].isNull() if "score" in values else F.lit(True)
-    bad.append(F.when(missing_score, F.lit("score")))
+    bad.append(F.when(values["score"].isNull(), F.lit("score")))
     if "thumbs_up_count" in values:
         bad.append(F.when(present["thumbs_up_count"] & values["thumbs_up_count"].isNull(),
                           F.lit("thumbs_up_count")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from revlumen.functions.numbers import locale_key, round_to
 from revlumen.operators.change import spikes_from_counts
 from revlumen.operators.issues import (
-    cluster_order, clusters_from_cube, feature_heatmap, report_cube, report_totals, severity_counts, totals_of,
+    CLUSTER, cluster_order, clusters_from_cube, example_ids, feature_heatmap, report_cube, report_totals, severity_counts, totals_of,
 )
 from revlumen.operators.priority import map_clusters, score_clusters
 from revlumen.operators.themes import theme_list
@@ -27,9 +27,13 @@ class WeeklyReport:
     ownership_assignments: DataFrame | None
 
 
-def weekly_report(df: DataFrame, rules: DataFrame | None = None, top_n: int = 5) -> WeeklyReport:
+def weekly_report(df: DataFrame, rules: DataFrame | None = None, top_n: int = 5,
+                  examples: bool = True) -> WeeklyReport:
     """Five small frames over one shared (day, cluster) aggregate.
 
+    Example ids of the top issues cost a second read of the reviews when that
+    frame is used; ``examples=False`` leaves them out.
+
     The aggregate is checkpointed: it holds one row per day and cluster, and
     without it each frame would scan and classify the reviews again.
     """
@@ -40,6 +44,8 @@ def weekly_report(df: DataFrame, rules: DataFrame | None = None, top_n: int = 5)
     total = totals_of(clusters, ("review_count",))["review_count"]
     leading = clusters.orderBy(*cluster_order()).limit(top_n).withColumn(
         "affected_share", round_to(F.col("review_count") / F.greatest(total, F.lit(1)), 4))
+    if examples:
+        leading = leading.join(example_ids(df), list(CLUSTER), "left").orderBy(*cluster_order())
     owners = None if rules is None else map_clusters(clusters, rules, include_unmapped=False, top_n=top_n)
     return WeeklyReport(report_totals(cube), leading, spikes, score_clusters(clusters, top_n=top_n), owners)
 

@@ -43,6 +43,12 @@ def test_first_row_follows_file_order(spark, tmp_path):
     assert dict(rows(result.reviews, "review_id", "content"))["x"] == "first"
 
 
+def test_missing_columns_make_rows_invalid(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,content\nx,text\n")
+    checked = import_reviews(readers.read_csv_reviews(spark, str(tmp_path / "a.csv"))).rejected
+    assert rows(checked, "review_id", "invalid_reasons") == [("x", ["score"])]
+
+
 def test_csv_round_trip(spark, tmp_path):
     raw = spark.createDataFrame(
         [("1", "play_store", 'An "odd" user', 'two\nlines, and a "quote"', 4, "1.0", "d", "", "2026-02-01T00:00:00Z")],
@@ -63,6 +69,7 @@ def test_json_import(spark, tmp_path):
         {"review_id": "f", "content": "null option", "score": 3, "device": None},
         {"review_id": "g", "content": "whole float", "score": 3.0, "thumbs_up_count": 2},
         {"review_id": "h", "content": "bool", "score": True},
+        {"review_id": "i", "content": "huge", "score": 1e30},
         {"content": "no id", "score": 1},
     ]))
     result = import_reviews(readers.read_json_reviews(spark, str(path), extra_fields=["extra"]))
@@ -70,6 +77,7 @@ def test_json_import(spark, tmp_path):
         ("a", 4, None, None, None), ("b", 2, "2026-02-01", "Ann", None), ("g", 3, None, None, 2)]
     reasons = {r["content"]: r["invalid_reasons"] for r in result.rejected.collect()}
     assert reasons["number id"] == ["review_id"] and reasons["fraction"] == ["score"]
+    assert reasons["huge"] == ["score"]
     assert reasons["null option"] == ["device"] and reasons["bool"] == ["score"]
     assert reasons[None] == ["content"] and reasons["no id"] == ["review_id"]
 

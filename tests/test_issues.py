@@ -225,7 +225,7 @@ def test_weekly_report(spark, six):
     rules = priority.ownership_rules(spark, [("Login/OTP", None, "Identity", "alex")])
     report = weekly.weekly_report(six, rules)
     assert rows(report.summary) == [(6, 0.5, 0.5)]
-    assert rows(report.top_issues, "issue_key")[0] == ("Bug::Login/OTP",)
+    assert rows(report.top_issues, "issue_key", "example_review_ids")[0] == ("Bug::Login/OTP", ["r1", "r2", "r5"])
     assert rows(report.priority_rankings, "issue_key", "impact_score") == rows(
         priority.priority_scores(six, top_n=5), "issue_key", "impact_score")
     assert rows(report.ownership_assignments, "squad") == [("Identity",)]

@@ -64,6 +64,7 @@ class Leaders:
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.queries, self.k, self.metric = queries, k, metric
         self.kept = [(None, None)] * len(queries)
+        self.limits = np.full(len(queries), np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         step = max(self.k, BLOCK_ENTRIES // max(1, len(self.queries)))
@@ -72,19 +73,15 @@ class Leaders:
 
     def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         scores = distances_to(vectors, self.queries, self.metric)
-        for q, row in enumerate(scores):
+        near = scores <= self.limits[:, None]
+        for q in np.flatnonzero(near.any(axis=1)):
             own, dist = self.kept[q]
-            if own is None:
-                self.kept[q] = best(ids, row, self.k)
-                continue
-            if len(own) >= self.k:
-                near = row <= dist.max()
-                if not near.any():
-                    continue
-                merged = np.concatenate([own, ids[near]]), np.concatenate([dist, row[near]])
-            else:
-                merged = np.concatenate([own, ids]), np.concatenate([dist, row])
-            self.kept[q] = best(*merged, self.k)
+            new_ids, new_dist = ids[near[q]], scores[q][near[q]]
+            if own is not None:
+                new_ids, new_dist = np.concatenate([own, new_ids]), np.concatenate([dist, new_dist])
+            self.kept[q] = best(new_ids, new_dist, self.k)
+            if len(self.kept[q][0]) == self.k:
+                self.limits[q] = self.kept[q][1].max()
 
     def rows(self):
         for q, (ids, dist) in enumerate(self.kept):

@@ -13,6 +13,7 @@ REPORT_TITLE = "*App Reviews Report*"
 EMPTY_REPORT = "*No reviews to report.*"
 SECTION_TITLES = {1: "P0 Critical Issues", 2: "P1 High Priority", 3: "Other Reports"}
 MAX_LABEL_LENGTH = 100
+MAX_TEXT_ROWS = 5000
 TITLE_POSITION, BLANK_POSITION, HEADER_POSITION = -3, -2, -1
 
 
@@ -90,3 +91,11 @@ def markdown_lines(df: DataFrame) -> DataFrame:
 def write_markdown(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The report as text part files in reading order."""
     markdown_lines(df).orderBy("section", "position").select("line").write.mode(mode).text(path)
+
+
+def markdown_text(df: DataFrame, max_rows: int = MAX_TEXT_ROWS) -> str:
+    """The report as one string, for frames of a bounded number of rows."""
+    require(df.limit(max_rows + 1).count() <= max_rows,
+            f"more than {max_rows} rows; use write_markdown")
+    lines = markdown_lines(df).orderBy("section", "position").collect()
+    return "\n".join(row["line"] for row in lines)

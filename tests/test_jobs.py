@@ -201,6 +201,9 @@ def test_markdown(spark, tmp_path):
         "*App Reviews Report*\n\n*P0 Critical Issues (1)*\n- *[Login]* Bug (ID: 1)\n\n*P1 High Priority (1)*\n"
         "- *[UI]* UX (ID: 3)\n\n*Other Reports (1)*\n- [FYI] UI - Praise")
     assert sorted(text.splitlines()) == sorted(lines)
+    assert exports.markdown_text(export_rows(spark)) == "\n".join(lines)
+    with pytest.raises(ValueError):
+        exports.markdown_text(export_rows(spark), max_rows=2)
     assert rows(exports.markdown_lines(export_rows(spark).limit(0)), "line") == [("*No reviews to report.*",)]
 
 

@@ -10,7 +10,7 @@ from revlumen.functions.numbers import locale_key, ratio, round_to
 from revlumen.functions.text import is_blank
 from revlumen.functions.timeutil import time_bucket
 from revlumen.operators.filters import ReviewFilters, filter_reviews, review_time
-from revlumen.schema import optional, or_default, require
+from revlumen.schema import ISSUE_TYPES, optional, or_default, require
 
 # Examples per cluster and the segment dimensions.
 EXAMPLES_PER_ISSUE = 3
@@ -230,7 +230,7 @@ def feature_heatmap(df: DataFrame) -> DataFrame:
     return df.groupBy("feature_area", "issue_type").agg(F.count("*").alias("review_count"))
 
 
-def feature_heatmap_wide(df: DataFrame, issue_types) -> DataFrame:
+def feature_heatmap_wide(df: DataFrame, issue_types=(*ISSUE_TYPES, "Unknown")) -> DataFrame:
     """One column per issue type; the list is fixed, so no extra scan."""
     return (feature_heatmap(df).groupBy("feature_area")
             .pivot("issue_type", list(issue_types)).agg(F.first("review_count"))

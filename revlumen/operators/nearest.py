@@ -54,8 +54,8 @@ def _shipped_candidates(vectors: DataFrame, shipped, k: int, metric: str, schema
     return vectors.mapInArrow(score, schema)
 
 
-def _grid_candidates(vectors: DataFrame, queries: DataFrame, query_count: int, k: int, metric: str,
-                     schema: T.StructType) -> DataFrame:
+def _grid_candidates(vectors: DataFrame, queries: DataFrame, query_count: int, dimensions: int, k: int,
+                     metric: str, schema: T.StructType) -> DataFrame:
     """Candidates when there are too many queries to ship.
 
     Rows and queries are cut into blocks of about equal size by the hash of
@@ -74,7 +74,6 @@ def _grid_candidates(vectors: DataFrame, queries: DataFrame, query_count: int, k
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         columns = [[], [], []]
         if len(left) and len(right):
-            dimensions = len(right.column("vector")[0])
             matrix, asked = matrix_of(right.column("vector"), dimensions)
             leaders = Leaders(matrix, k, metric)
             values, kept = matrix_of(left.column("vector"), dimensions)
@@ -101,10 +100,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosin
     shipped = asks.limit(max_shipped_queries + 1).collect()
     if not shipped:
         candidates = asks.sparkSession.createDataFrame([], schema)
-    elif len(shipped) <= max_shipped_queries:
-        candidates = _shipped_candidates(rows, shipped, k, metric, schema)
     else:
-        candidates = _grid_candidates(rows, asks, asks.count(), k, metric, schema)
+        size = F.coalesce(F.size("vector"), F.lit(-1))
+        lengths = asks.agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high")).first()
+        require(lengths["low"] == lengths["high"] > 0, "query vectors must have one common length")
+        if lengths["n"] <= max_shipped_queries:
+            candidates = _shipped_candidates(rows, shipped, k, metric, schema)
+        else:
+            candidates = _grid_candidates(rows, asks, lengths["n"], lengths["low"], k, metric, schema)
     # Two steps, so that no task meets the candidates of all tasks at once.
     grouped = candidates.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(MERGE_GROUPS)))
     merged = _leading(grouped, ["query_id", "_part"], k).drop("_rn", "_part")

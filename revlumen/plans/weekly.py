@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from revlumen.functions.numbers import locale_key, round_to
 from revlumen.operators.change import spikes_from_counts
 from revlumen.operators.issues import (
-    CLUSTER, cluster_order, clusters_from_cube, example_ids, feature_heatmap, report_cube, report_totals, severity_counts, totals_of,
+    CLUSTER, cluster_order, clusters_from_cube, example_ids, feature_heatmap, report_cube, report_totals,
+    severity_counts, totals_of,
 )
 from revlumen.operators.priority import map_clusters, score_clusters
 from revlumen.operators.themes import theme_list

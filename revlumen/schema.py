@@ -20,7 +20,6 @@ FEATURE_AREAS = (
 SEVERITIES = ("P0", "P1", "P2", "FYI")
 SENTIMENTS = ("Positive", "Mixed", "Neutral", "Negative")
 PLATFORMS = ("play_store", "app_store", "unknown")
-CLASSIFICATION_SOURCES = ("rule_engine", "llm", "hybrid")
 
 OPTIONAL_TEXT_FIELDS = (
     "user_name", "review_created_at", "app_version", "device", "os_version", "locale",
@@ -83,13 +82,6 @@ OWNERSHIP_RULE = T.StructType([
     T.StructField("owner", T.StringType(), False),
 ])
 
-EXTERNAL_LABEL = T.StructType([
-    T.StructField("feature_area", T.StringType()),
-    T.StructField("issue_type", T.StringType()),
-    T.StructField("severity", T.StringType()),
-])
-
-
 def optional(df: DataFrame, name: str, dtype: str = "string") -> Column:
     """Column ``name``, or a typed null when the frame does not carry it."""
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)

@@ -79,6 +79,33 @@ def test_analyze_and_metadata(spark, reviews):
     assert not whole["degraded_mode"]
 
 
+def test_analyzed_layout(spark):
+    from revlumen.schema import ANALYZED_REVIEW, RAW_REVIEW
+    base = source.reviews_from_events(source.read_events(spark, SMALL))
+    raw = {f.name: f.dataType for f in RAW_REVIEW.fields}
+    assert all(raw[f.name] == f.dataType for f in base.schema.fields)
+    got = analyze.analyze(base).schema
+    assert {f.name for f in got.fields} == set(ANALYZED_REVIEW.names)
+    flat = {f.name: f.dataType.simpleString() for f in ANALYZED_REVIEW.fields}
+    assert {f.name: f.dataType.simpleString() for f in got.fields} == flat
+
+
+def test_summarize(spark):
+    from revlumen.plans.weekly import summarize
+    summary = summarize(analyze.analyze(source.reviews_from_events(source.read_events(spark, SMALL))))
+    counts = summary.severity_counts.first()
+    assert sum(counts) == sum(r["review_count"] for r in summary.heatmap.collect())
+    assert len(summary.themes.first()["top_themes"]) == 3
+
+
+def test_severity_parts_sum_to_cluster_counts(spark):
+    from revlumen.operators.issues import issue_clusters
+    rows_in = analyze.analyze(source.reviews_from_events(source.read_events(spark, SMALL)))
+    clusters = issue_clusters(rows_in).collect()
+    assert all(c["review_count"] == c["p0_count"] + c["p1_count"] + c["p2_count"] + c["fyi_count"] for c in clusters)
+    assert sum(c["review_count"] for c in clusters) == rows_in.count()
+
+
 def test_budget_falls_back(spark, reviews):
     table = label_table(spark, [(r[0], '{"severity": "P2"}', None, "gpt-4o", 1000, 1000) for r in REVIEWS])
     classified = analyze.classify_reviews(reviews)
@@ -94,7 +121,7 @@ def test_budget_falls_back(spark, reviews):
 
 
 def test_enrich(spark):
-    left = analytics_frame(spark, [("a", "Bug", "SOS", "P0", None, 1, None, None), ("b", "Bug", "SOS", "P0", None, 1, None, None)])
+    left = analytics_frame(spark, [(i, "Bug", "SOS", "P0", None, 1, None, None) for i in ("a", "b")])
     raw = spark.createDataFrame([("a", "ios", 1), ("a", "android", 0)], "review_id string, platform string, seq bigint")
     assert sorted(rows(enrich(left, raw, ["platform"]), "review_id", "platform")) == [("a", "android"), ("b", None)]
 

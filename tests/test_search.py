@@ -54,7 +54,8 @@ def test_nearest_without_queries(spark, data):
 
 
 def test_string_ids_and_small_k(spark):
-    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])],
+                               "id string, embedding array<float>")
     ask = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
     assert rows(N.nearest(df, ask, 1), "id") == [("a",)]
 
@@ -112,15 +113,28 @@ def test_bad_options(options):
 
 
 def test_metadata_join_falls_back_to_title_and_url(spark):
-    hits = spark.createDataFrame([(1, 0, "T", "U"), (2, 1, "T", "U")], "id int, relevance_rank int, title string, url string")
-    meta = spark.createDataFrame([(1, "Ann", "", 3, "", "2026-02-01")],
-                                 "id int, author string, content string, score int, date string, review_created_at string")
+    hits = spark.createDataFrame([(1, 0, "T", "U"), (2, 1, "T", "U")],
+                                 "id int, relevance_rank int, title string, url string")
+    meta = spark.createDataFrame(
+        [(1, "Ann", "", 3, "", "2026-02-01")],
+        "id int, author string, content string, score int, date string, review_created_at string")
     got = sorted(rows(S.attach_metadata(hits, meta)))
     assert got == [(1, 0, "Ann", "U", 3, "2026-02-01"), (2, 1, "T", "U", None, None)]
 
 
-def test_workers_do_not_need_the_package(spark, data):
-    """The kernel travels by value."""
+def test_workers_do_not_need_the_package(tmp_path):
+    """The kernel travels by value: it loads where the package is not on the path."""
+    import subprocess
+    import sys
     from pyspark import cloudpickle
     from revlumen.functions import vectors
-    assert b"revlumen.functions.vectors" not in cloudpickle.dumps(vectors.Leaders).split(b"__module__")[0]
+    blob = tmp_path / "kernel.pkl"
+    blob.write_bytes(cloudpickle.dumps((vectors.Leaders, vectors.matrix_of)))
+    code = f"import pickle, sys; pickle.load(open({str(blob)!r}, 'rb')); assert 'revlumen' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, timeout=60)
+
+
+def test_query_vectors_of_different_lengths(spark, data):
+    ask = spark.createDataFrame([(1, [1.0] * 8), (2, [1.0] * 7)], "query_id int, embedding array<float>")
+    with pytest.raises(ValueError):
+        N.nearest(spark.createDataFrame(data[0], SCHEMA), ask, 3)

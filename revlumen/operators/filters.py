@@ -31,6 +31,10 @@ class ReviewFilters:
     end_inclusive_day: bool = False
 
 
+# Day partition of a stored analysed table.
+DAY_COLUMN = "review_day"
+
+
 def review_time(df: DataFrame) -> Column:
     """``review_ts`` where the frame carries it, else the parsed date string."""
     if "review_ts" in df.columns:
@@ -66,12 +70,24 @@ def date_predicate(ts: Column, start_date, end_date, end_inclusive_day: bool = F
     return reduce(and_, parts)
 
 
+def _prune_days(df: DataFrame, filters: ReviewFilters) -> DataFrame:
+    """The date bounds as whole days, which skip partition folders."""
+    start, end = parse_instant(filters.start_date), parse_instant(filters.end_date)
+    if filters.start_date and start is not None:
+        df = df.where(F.col(DAY_COLUMN) >= F.lit(start.date()))
+    if filters.end_date and end is not None:
+        df = df.where(F.col(DAY_COLUMN) <= F.lit(end.date()))
+    return df
+
+
 def filter_reviews(df: DataFrame, filters: ReviewFilters | None) -> DataFrame:
     if filters is None:
         return df
     dates = date_predicate(review_time(df), filters.start_date, filters.end_date, filters.end_inclusive_day)
     if dates is not None:
         df = df.where(dates)
+        if DAY_COLUMN in df.columns:
+            df = _prune_days(df, filters)
     for name, allowed in (
         ("severity", filters.severities), ("sentiment", filters.sentiments),
         ("feature_area", filters.feature_areas), ("issue_type", filters.issue_types),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revlumen.functions.rules import classify
 from revlumen.operators.calls import budget_guard, cost_units, to_usd
-from revlumen.operators.filters import newest_first
+from revlumen.operators.filters import DAY_COLUMN, newest_first
 from revlumen.operators.labels import analyzed_rows, merge_labels
 from revlumen.schema import optional
 
@@ -52,6 +52,16 @@ def analyze(reviews: DataFrame, labels: DataFrame | None = None, include_raw_tex
     return analyzed_rows(classify_reviews(reviews, labels, recent_limit), include_raw_text)
 
 
+def write_analyzed(analyzed: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store analysed reviews as Parquet partitioned by UTC day.
+
+    The rebalance hint lets a day with many rows spread over several files of
+    even size. Date filters prune the day folders (see ``filter_reviews``).
+    """
+    dated = analyzed.withColumn(DAY_COLUMN, F.to_date("review_ts")).hint("rebalance", DAY_COLUMN)
+    dated.write.mode(mode).partitionBy(DAY_COLUMN).parquet(path)
+
+
 def analyze_metadata(rows: DataFrame, available: int | None = None, labels: DataFrame | None = None) -> DataFrame:
     """One row of counters, ratios, warnings and reasons over classified rows.
 

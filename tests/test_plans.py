@@ -62,6 +62,20 @@ def test_date_filter_and_columns_reach_the_scan(spark, tmp_path):
     assert schemas and all("text:" not in s and "signals" not in s for s in schemas)
 
 
+def test_day_folders_are_pruned(spark, tmp_path):
+    from revlumen.plans.analyze import analyze, write_analyzed
+    from revlumen.sources import event_reviews as source
+    base = analyze(source.reviews_from_events(source.read_events(spark, SMALL)))
+    write_analyzed(base, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    chosen = ReviewFilters(start_date="2024-01-08", end_date="2024-01-09T12:00:00Z")
+    kept = filter_reviews(stored, chosen)
+    plan = executed(kept)
+    assert "(review_day" in re.search(r"PartitionFilters: \[([^\n]*)\]", plan).group(1)
+    assert sorted(r["review_id"] for r in kept.collect()) == sorted(
+        r["review_id"] for r in filter_reviews(base, chosen).collect())
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 

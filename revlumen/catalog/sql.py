@@ -300,7 +300,7 @@ SELECT theme, count(*) AS review_count FROM pairs GROUP BY theme ORDER BY review
 
 MARKDOWN = """
 body AS (
-  SELECT CASE severity WHEN 'P0' THEN 1 WHEN 'P1' THEN 2 ELSE 3 END AS section, seq AS position,
+  SELECT CASE severity WHEN 'P0' THEN 1 WHEN 'P1' THEN 2 ELSE 3 END AS section, seq,
          CASE WHEN severity IN ('P0', 'P1')
               THEN '- *[' || feature_area || ']* ' || issue_type || ' (ID: ' || review_id || ')'
               ELSE '- [' || severity || '] ' || feature_area || ' - ' || issue_type END AS line
@@ -308,10 +308,10 @@ body AS (
 heads AS (
   SELECT section, ['P0 Critical Issues', 'P1 High Priority', 'Other Reports'][section] AS title, count(*) AS n
   FROM body GROUP BY section)
-SELECT section, position, line FROM body
-UNION ALL SELECT section, -1::BIGINT, '*' || title || ' (' || n || ')*' FROM heads
-UNION ALL SELECT section, -2::BIGINT, '' FROM heads
-UNION ALL SELECT 0, -3::BIGINT, '*App Reviews Report*'"""
+SELECT section, 3 AS part, seq, line FROM body
+UNION ALL SELECT section, 2, NULL, '*' || title || ' (' || n || ')*' FROM heads
+UNION ALL SELECT section, 1, NULL, '' FROM heads
+UNION ALL SELECT 0, 0, NULL, '*App Reviews Report*'"""
 
 
 def stream_trends(bucket: str, length: str) -> str:

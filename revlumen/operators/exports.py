@@ -14,7 +14,7 @@ EMPTY_REPORT = "*No reviews to report.*"
 SECTION_TITLES = {1: "P0 Critical Issues", 2: "P1 High Priority", 3: "Other Reports"}
 MAX_LABEL_LENGTH = 100
 MAX_TEXT_ROWS = 5000
-TITLE_POSITION, BLANK_POSITION, HEADER_POSITION = -3, -2, -1
+TITLE_PART, BLANK_PART, HEADER_PART, ROW_PART = range(4)
 
 
 def is_exportable(df: DataFrame) -> Column:
@@ -62,40 +62,42 @@ def write_tickets(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def markdown_lines(df: DataFrame) -> DataFrame:
-    """Lines of the report as (section, position, line).
+    """Lines of the report as (section, part, seq, line).
 
-    Rows keep their input order inside a section through ``seq``; nothing is
-    numbered or gathered globally. Sort by (section, position) to read it.
+    Rows keep their input order inside a section through ``seq``, of whatever
+    type it is; nothing is numbered or gathered globally. Sort by the first
+    three columns to read it.
     """
     section = F.when(F.col("severity") == "P0", 1).when(F.col("severity") == "P1", 2).otherwise(3)
     urgent = F.concat(F.lit("- *["), "feature_area", F.lit("]* "), "issue_type", F.lit(" (ID: "),
                       "review_id", F.lit(")"))
     plain = F.concat(F.lit("- ["), "severity", F.lit("] "), "feature_area", F.lit(" - "), "issue_type")
-    body = df.select(section.alias("section"), F.col("seq").cast("bigint").alias("position"),
+    body = df.select(section.alias("section"), F.lit(ROW_PART).alias("part"), "seq",
                      F.when(section < 3, urgent).otherwise(plain).alias("line"))
     counts = body.agg(*[F.count_if(F.col("section") == n).alias(f"n{n}") for n in SECTION_TITLES],
                       F.count("*").alias("n"))
+    no_place = F.lit(None).cast(df.schema["seq"].dataType)
 
-    def head(number: int, position: int, line: Column, shown: Column) -> Column:
-        return F.when(shown, F.struct(F.lit(number).alias("section"),
-                                      F.lit(position).cast("bigint").alias("position"), line.alias("line")))
+    def head(number: int, part: int, line: Column, shown: Column) -> Column:
+        return F.when(shown, F.struct(F.lit(number).alias("section"), F.lit(part).alias("part"),
+                                      no_place.alias("seq"), line.alias("line")))
 
-    lines = [head(0, TITLE_POSITION, F.when(F.col("n") > 0, REPORT_TITLE).otherwise(EMPTY_REPORT), F.lit(True))]
+    lines = [head(0, TITLE_PART, F.when(F.col("n") > 0, REPORT_TITLE).otherwise(EMPTY_REPORT), F.lit(True))]
     for number, title in SECTION_TITLES.items():
         shown, size = F.col(f"n{number}") > 0, F.col(f"n{number}").cast("string")
-        lines.append(head(number, BLANK_POSITION, F.lit(""), shown))
-        lines.append(head(number, HEADER_POSITION, F.concat(F.lit(f"*{title} ("), size, F.lit(")*")), shown))
+        lines.append(head(number, BLANK_PART, F.lit(""), shown))
+        lines.append(head(number, HEADER_PART, F.concat(F.lit(f"*{title} ("), size, F.lit(")*")), shown))
     return counts.select(F.inline(F.array_compact(F.array(*lines)))).unionByName(body)
 
 
 def write_markdown(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The report as text part files in reading order."""
-    markdown_lines(df).orderBy("section", "position").select("line").write.mode(mode).text(path)
+    markdown_lines(df).orderBy("section", "part", "seq").select("line").write.mode(mode).text(path)
 
 
 def markdown_text(df: DataFrame, max_rows: int = MAX_TEXT_ROWS) -> str:
     """The report as one string, for frames of a bounded number of rows."""
     require(df.limit(max_rows + 1).count() <= max_rows,
             f"more than {max_rows} rows; use write_markdown")
-    lines = markdown_lines(df).orderBy("section", "position").collect()
+    lines = markdown_lines(df).orderBy("section", "part", "seq").collect()
     return "\n".join(row["line"] for row in lines)

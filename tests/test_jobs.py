@@ -223,7 +223,7 @@ def test_tickets(spark, tmp_path):
 def test_markdown(spark, tmp_path):
     exports.write_markdown(export_rows(spark), str(tmp_path / "m"))
     text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "m")).coalesce(1).collect())
-    lines = [r["line"] for r in exports.markdown_lines(export_rows(spark)).orderBy("section", "position").collect()]
+    lines = [r["line"] for r in exports.markdown_lines(export_rows(spark)).orderBy("section", "part", "seq").collect()]
     assert "\n".join(lines) == (
         "*App Reviews Report*\n\n*P0 Critical Issues (1)*\n- *[Login]* Bug (ID: 1)\n\n*P1 High Priority (1)*\n"
         "- *[UI]* UX (ID: 3)\n\n*Other Reports (1)*\n- [FYI] UI - Praise")
@@ -234,6 +234,25 @@ def test_markdown(spark, tmp_path):
     assert rows(exports.markdown_lines(export_rows(spark).limit(0)), "line") == [("*No reviews to report.*",)]
 
 
+def test_file_to_reports(spark, tmp_path):
+    """CSV in, every report out; input order comes from the files."""
+    from revlumen.operators.issues import segment_breakdown, top_issues
+    from revlumen.plans.importing import import_reviews
+    from revlumen.sources.readers import read_csv_reviews
+    head = "review_id,content,score,device,review_created_at\n"
+    (tmp_path / "a.csv").write_text(head + "z,can't login today,1,Pixel,2026-02-01T10:00:00Z\n"
+                                           "y,the login code is wrong,3,,2026-02-02\n")
+    (tmp_path / "b.csv").write_text(head + "x,can't login again,1,Pixel,\ny,duplicate row here,1,,\nw,123,1,,\n")
+    analyzed = analyze.analyze(import_reviews(read_csv_reviews(spark, str(tmp_path))).reviews)
+    top = top_issues(analyzed).first()
+    assert (top["issue_key"], top["review_count"], top["example_review_ids"]) == ("Account/Auth::Login/OTP", 2, ["z", "x"])
+    assert exports.markdown_text(analyzed).splitlines()[2:5] == [
+        "*P0 Critical Issues (2)*", "- *[Login/OTP]* Account/Auth (ID: z)", "- *[Login/OTP]* Account/Auth (ID: x)"]
+    assert rows(segment_breakdown(analyzed, "device"), "segment_value", "issue_count") == [("Pixel", 2), ("unknown", 1)]
+    assert analyze.analyze_metadata(analyze.classify_reviews(
+        import_reviews(read_csv_reviews(spark, str(tmp_path))).reviews)).first()["filtered_spam"] == 1
+
+
 def test_counts_of_derived_reviews(spark):
     classified = classify(source.reviews_from_events(source.read_events(spark, "/root/testdata/sf0.01")))
     got = dict(rows(classified.groupBy(F.coalesce("severity", F.lit("none")).alias("s")).count()))

@@ -145,6 +145,11 @@ def dedupe_query(spark, folder):
     return validity.keep_first(validity.valid_rows(_checked(spark, folder))).select("review_id", "seq", "score")
 
 
+def dedupe_lookup_query(spark, folder):
+    valid = validity.valid_rows(_checked(spark, folder))
+    return validity.keep_first_by_lookup(valid).select("review_id", "seq", "score")
+
+
 def import_diagnostics_query(spark, folder):
     return validity.import_diagnostics(_checked(spark, folder))
 
@@ -485,6 +490,7 @@ QUERIES = {
     "normalize": normalize_query,
     "validate": validate_query,
     "dedupe": dedupe_query,
+    "dedupe_lookup": dedupe_lookup_query,
     "import_diagnostics": import_diagnostics_query,
     "incremental_anti": incremental_anti_query,
     "valid_embeddings": valid_embeddings_query,

@@ -244,6 +244,9 @@ checked AS (
             AS invalid_reasons
   FROM unclean)"""
 
+DEDUPED = f"""WITH {UNCLEAN} SELECT review_id, seq, score FROM checked WHERE invalid_reasons = ''
+              QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY seq) = 1"""
+
 MERGED = ANALYZED + f""",
 answers AS (
   SELECT 'r' || event_id AS review_id, {string_list(source.ANSWERS)}[((event_id + user_id) % 6 + 1)::INTEGER] AS raw,
@@ -353,8 +356,8 @@ ORACLE_SQL = {
     "normalize": f"""WITH {UNCLEAN} SELECT seq, review_id, score, thumbs_up_count, review_created_at, user_name
                      FROM unclean""",
     "validate": f"WITH {UNCLEAN} SELECT seq, invalid_reasons FROM checked",
-    "dedupe": f"""WITH {UNCLEAN} SELECT review_id, seq, score FROM checked WHERE invalid_reasons = ''
-                  QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY seq) = 1""",
+    "dedupe": DEDUPED,
+    "dedupe_lookup": DEDUPED,
     "import_diagnostics": f"""
         WITH {UNCLEAN},
         sums AS (SELECT count(*) AS n, count(*) FILTER (invalid_reasons <> '') AS bad,

@@ -11,6 +11,7 @@ from revlumen.functions.timeutil import parse_ts
 from revlumen.schema import (
     OPTIONAL_TEXT_FIELDS, PLATFORMS, SENTIMENTS, SEVERITIES, blank_to_null, require,
 )
+from revlumen.session import checkpointed
 
 # Field <- alias, and the integer prefix of a numeric string.
 ALIASES = {"review_id": "id", "review_created_at": "date", "user_name": "author"}
@@ -19,6 +20,8 @@ REQUIRED = {"review_id": "string", "content": "string", "score": "bigint"}
 LEADING_INTEGER = r"^\s*([+-]?\d+)"
 EMBEDDING_TOKENS_PER_REVIEW = 55
 EMBEDDING_USD_PER_MILLION_TOKENS = 0.02
+# Repeated keys that may be broadcast: a million short ids take some 100 MB.
+MAX_REPEATED_KEYS = 1_000_000
 
 
 def leading_integer(value: Column) -> Column:
@@ -130,6 +133,24 @@ def keep_first(df: DataFrame, key: str = "review_id", order: str = "seq") -> Dat
     return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
+def keep_first_by_lookup(df: DataFrame, key: str = "review_id", order: str = "seq",
+                         max_repeated: int = MAX_REPEATED_KEYS) -> DataFrame:
+    """``keep_first`` for inputs in which few keys repeat.
+
+    Only (key, order) pairs are shuffled, to find the repeated keys; the rows
+    themselves are then filtered in place against that broadcast list. Reads
+    the input twice and runs the first read at once. Beyond ``max_repeated``
+    repeated keys it falls back to ``keep_first``. Keys must not be null.
+    """
+    counted = df.groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    repeated = checkpointed(counted.where("_n > 1").select(key, "_first"))
+    if repeated.limit(max_repeated + 1).count() > max_repeated:
+        return keep_first(df, key, order)
+    joined = df.join(F.broadcast(repeated), key, "left")
+    first = F.col("_first").isNull() | (F.col(order) == F.col("_first"))
+    return joined.where(first).select(*df.columns)
+
+
 def to_raw_reviews(df: DataFrame) -> DataFrame:
     """Valid rows with typed columns and the parsed ``review_ts``."""
     typed = df.withColumn("score", F.col("score").cast("int"))

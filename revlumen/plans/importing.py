@@ -17,14 +17,16 @@ class ImportResult:
     diagnostics: DataFrame
 
 
-def import_reviews(raw: DataFrame) -> ImportResult:
+def import_reviews(raw: DataFrame, few_duplicates: bool = False) -> ImportResult:
     """Valid unique reviews, the rejected rows with reasons, and the counters.
 
-    ``raw`` carries ``seq`` (see ``sources.readers``); all three frames are
-    lazy and share one narrow stage.
+    ``raw`` carries ``seq`` (see ``sources.readers``). The frames are lazy.
+    With ``few_duplicates`` the repeated ids are looked up at once, and whole
+    rows are not shuffled to drop their copies.
     """
     checked = V.validate(V.normalize(raw))
-    reviews = V.to_raw_reviews(V.keep_first(V.valid_rows(checked)))
+    dedupe = V.keep_first_by_lookup if few_duplicates else V.keep_first
+    reviews = V.to_raw_reviews(dedupe(V.valid_rows(checked)))
     return ImportResult(reviews, V.rejected_rows(checked), V.import_diagnostics(checked))
 
 

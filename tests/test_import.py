@@ -109,6 +109,20 @@ def test_dedupe_equals_distinct_ids_on_any_partitioning(spark):
                                     .alias("review_id"), F.col("id").alias("seq"))
     one, many = (sorted(rows(V.keep_first(df.repartition(n)))) for n in (1, 8))
     assert one == many and len(one) == df.select("review_id").distinct().count()
+    assert sorted(rows(V.keep_first_by_lookup(df))) == one
+    assert sorted(rows(V.keep_first_by_lookup(df, max_repeated=2))) == one
+
+
+def test_lookup_dedupe_does_not_shuffle_rows(spark, tmp_path):
+    """Also with the struct order that the file readers give."""
+    (tmp_path / "1.csv").write_text("review_id,content,score\nx,first,1\n" + "".join(
+        f"k{i},some text,2\n" for i in range(50)))
+    (tmp_path / "2.csv").write_text("review_id,content,score\nx,second,1\nk7,later,1\n")
+    raw = readers.read_csv_reviews(spark, str(tmp_path))
+    result = import_reviews(raw, few_duplicates=True).reviews
+    assert sorted(rows(result, "review_id", "content")) == sorted(rows(import_reviews(raw).reviews, "review_id", "content"))
+    result.collect()
+    assert "hashpartitioning" not in result._jdf.queryExecution().executedPlan().toString()
 
 
 def test_dedupe_limits_rows_before_the_shuffle(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlumen.schema import SENTIMENTS, SEVERITIES, require
+from revlumen.schema import SENTIMENTS, SEVERITIES, require, with_seq
 
 # Wording of the exports.
 TICKET_PROJECT = "APP"
@@ -68,6 +68,7 @@ def markdown_lines(df: DataFrame) -> DataFrame:
     type it is; nothing is numbered or gathered globally. Sort by the first
     three columns to read it.
     """
+    df = with_seq(df)
     section = F.when(F.col("severity") == "P0", 1).when(F.col("severity") == "P1", 2).otherwise(3)
     urgent = F.concat(F.lit("- *["), "feature_area", F.lit("]* "), "issue_type", F.lit(" (ID: "),
                       "review_id", F.lit(")"))

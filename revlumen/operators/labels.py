@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revlumen.functions.rules import needs_external_label
 from revlumen.operators.calls import failure_class
+from revlumen.operators.filters import review_time
 from revlumen.operators.validity import keep_first
 from revlumen.schema import SEVERITIES, blank_to_null, optional, or_default
 
@@ -78,7 +79,7 @@ def analyzed_rows(classified: DataFrame, include_raw_text: bool = False) -> Data
     return df.select(
         "review_id", (F.col("content") if include_raw_text else F.col("text")).alias("text"),
         optional(df, "review_created_at").alias("review_created_at"),
-        optional(df, "review_ts", "timestamp").alias("review_ts"), "score",
+        review_time(df).alias("review_ts"), "score",
         "issue_type", "feature_area",
         or_default(F.col("severity"), "FYI").alias("severity"),
         or_default(F.col("sentiment"), "Neutral").alias("sentiment"),

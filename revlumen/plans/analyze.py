@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from revlumen.functions.rules import classify
 from revlumen.operators.calls import budget_guard, cost_units, to_usd
-from revlumen.operators.filters import DAY_COLUMN, newest_first
+from revlumen.operators.filters import DAY_COLUMN, newest_first, review_time
 from revlumen.operators.labels import analyzed_rows, merge_labels
-from revlumen.schema import optional
-
 # Thresholds and texts of the run report.
 DEFAULT_RECENT_REVIEWS = 300
 COVERAGE_DROP_RATIO = 0.4
@@ -72,7 +70,7 @@ def analyze_metadata(rows: DataFrame, available: int | None = None, labels: Data
     reason = F.col("fallback_reason")
     failed = reason.isin("timeout", "rate_limited", "provider_failure")
     asked = hybrid | failed
-    moment = F.coalesce(optional(rows, "review_ts", "timestamp"), F.timestamp_seconds(F.lit(0)))
+    moment = F.coalesce(review_time(rows), F.timestamp_seconds(F.lit(0)))
     place = F.col("seq") if "seq" in rows.columns else F.col("review_id")
     order = F.struct((-F.unix_micros(moment)).alias("age"), place.alias("place"))
     sums = rows.agg(

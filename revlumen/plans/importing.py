@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlumen.operators import validity as V
+from revlumen.schema import with_seq
 
 
 @dataclass(frozen=True)
@@ -20,11 +21,12 @@ class ImportResult:
 def import_reviews(raw: DataFrame, few_duplicates: bool = False) -> ImportResult:
     """Valid unique reviews, the rejected rows with reasons, and the counters.
 
-    ``raw`` carries ``seq`` (see ``sources.readers``). The frames are lazy.
+    ``raw`` comes from ``sources.readers`` or ``spark.createDataFrame``; the
+    first row of an id in input order (``seq``) stays. The frames are lazy.
     With ``few_duplicates`` the repeated ids are looked up at once, and whole
     rows are not shuffled to drop their copies.
     """
-    checked = V.validate(V.normalize(raw))
+    checked = V.validate(V.normalize(with_seq(raw)))
     dedupe = V.keep_first_by_lookup if few_duplicates else V.keep_first
     reviews = V.to_raw_reviews(dedupe(V.valid_rows(checked)))
     return ImportResult(reviews, V.rejected_rows(checked), V.import_diagnostics(checked))

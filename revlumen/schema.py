@@ -87,6 +87,15 @@ def optional(df: DataFrame, name: str, dtype: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
 
 
+def with_seq(df: DataFrame) -> DataFrame:
+    """The frame with an input order: its own ``seq``, else the row position.
+
+    Positions are stable for scans and literal rows; give other frames a
+    ``seq`` of their own.
+    """
+    return df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())
+
+
 def blank_to_null(column: Column) -> Column:
     """Null for the empty string, the value otherwise."""
     return F.nullif(column, F.lit(""))

@@ -253,6 +253,25 @@ def test_file_to_reports(spark, tmp_path):
         import_reviews(read_csv_reviews(spark, str(tmp_path))).reviews)).first()["filtered_spam"] == 1
 
 
+def test_literal_rows_to_reports(spark):
+    """Rows made by hand need neither ``seq`` nor a parsed date."""
+    from revlumen.operators.issues import time_trends
+    from revlumen.plans.importing import import_reviews
+    raw = spark.createDataFrame(
+        [("b", "there is a bug in it", "2", "2026-02-01"), ("a", "there is a bug here", "1", "2026-02-02T10:00:00Z"),
+         ("b", "the later one is dropped", "1", None)],
+        "review_id string, content string, score string, date string")
+    reviews = import_reviews(raw).reviews
+    assert sorted(rows(reviews, "review_id", "content"))[1] == ("b", "there is a bug in it")
+    bare = spark.createDataFrame([("a", "there is a bug here", 1, "2026-02-02T10:00:00Z")],
+                                 "review_id string, content string, score int, review_created_at string")
+    for frame, days in ((reviews, 2), (bare, 1)):
+        analyzed = analyze.analyze(frame)
+        assert time_trends(analyzed, "day").count() == days
+        assert "Bug" in exports.markdown_text(analyzed)
+        assert analyze.analyze_metadata(analyze.classify_reviews(frame)).first()["total_processed"] == days
+
+
 def test_counts_of_derived_reviews(spark):
     classified = classify(source.reviews_from_events(source.read_events(spark, "/root/testdata/sf0.01")))
     got = dict(rows(classified.groupBy(F.coalesce("severity", F.lit("none")).alias("s")).count()))

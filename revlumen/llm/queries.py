@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import phrase_index, secret_ledger
+from revlumen.llm import hilbert, phrase_index, secret_ledger
 from revlumen.llm.common import read_table
 
 
@@ -10,11 +10,16 @@ def op1_secret_ledger(spark, folder):
     return secret_ledger.documents_query(spark, read_table(spark, folder, "documents"))
 
 
+def op4_hilbert_shards(spark, folder):
+    return hilbert.documents_query(read_table(spark, folder, "documents"))
+
+
 def op10_phrase_index(spark, folder):
     return phrase_index.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op10_phrase_index": op10_phrase_index,
 }

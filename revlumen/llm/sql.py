@@ -57,7 +57,46 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes; its table follows from the polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            f"lambda c, b: xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)")
+
+
+def _shards(bits: int = 5, count: int = 8) -> str:
+    """The curve walked level by level over ranked values; the tables of the curve follow from its rule."""
+    from revlumen.llm.hilbert import curve_table
+
+    digits, following = curve_table(3)
+    names = ("source", "lang", "size")
+    ranks = ", ".join(
+        f"r_{n} AS (SELECT {n} AS v, (coalesce(sum(k) OVER (ORDER BY {n} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        f" * {1 << bits} // (SELECT count(*) FROM d))::BIGINT AS b FROM (SELECT {n}, count(*) AS k FROM d GROUP BY {n}))" for n in names)
+    level = "SELECT doc_id, size, text_crc32, r_source.b AS b0, r_lang.b AS b1, r_size.b AS b2, 0 AS s, 0::BIGINT AS h FROM d "
+    level += " ".join(f"JOIN r_{n} ON d.{n} IS NOT DISTINCT FROM r_{n}.v" for n in names)
+    for at in reversed(range(bits)):
+        corner = f"(s * 8 + ((b0 >> {at}) & 1) + ((b1 >> {at}) & 1) * 2 + ((b2 >> {at}) & 1) * 4 + 1)"
+        level = f"SELECT doc_id, size, text_crc32, b0, b1, b2, {following}[{corner}] AS s, h * 8 + {digits}[{corner}] AS h FROM ({level})"
+    # The tables hold no repeated ids, so ids alone break ties.
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, text, coalesce(strlen(text), 0) + 1 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+{ranks}, placed AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY h, doc_id) - 1 AS p FROM ({level})),
+n AS (SELECT count(*) AS n FROM d)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p * {count} // n)::INTEGER AS shard,
+  p - ((p * {count} // n) * n + {count - 1}) // {count} AS slot, NULL::INTEGER AS grown_shard FROM placed, n
+"""
+
+
 ORACLE_SQL = {
     "op1_secret_ledger": _SECRETS,
+    "op4_hilbert_shards": _shards(),
     "op10_phrase_index": _PHRASES,
 }

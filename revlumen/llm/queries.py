@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import hilbert, phrase_index, secret_ledger
+from revlumen.llm import hilbert, minhash, phrase_index, secret_ledger
 from revlumen.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op4_hilbert_shards(spark, folder):
     return hilbert.documents_query(read_table(spark, folder, "documents"))
 
 
+def op5_circulant_minhash(spark, folder):
+    return minhash.documents_query(read_table(spark, folder, "documents"))
+
+
 def op10_phrase_index(spark, folder):
     return phrase_index.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -21,5 +25,6 @@ def op10_phrase_index(spark, folder):
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_circulant_minhash": op5_circulant_minhash,
     "op10_phrase_index": op10_phrase_index,
 }

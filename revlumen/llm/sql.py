@@ -95,8 +95,28 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (p * {count} // n)::INTEGER AS s
 """
 
 
+# All pairs that share a shingle, and everything that links reach.
+_NEAR = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT r, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s FROM (
+    SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, x) AS (SELECT r, r FROM docs UNION SELECT reach.r, steps.b FROM reach JOIN steps ON steps.a = reach.x),
+least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.x GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs JOIN least USING (r) LEFT JOIN sizes USING (r)
+"""
+
 ORACLE_SQL = {
     "op1_secret_ledger": _SECRETS,
     "op4_hilbert_shards": _shards(),
+    "op5_circulant_minhash": _NEAR,
     "op10_phrase_index": _PHRASES,
 }

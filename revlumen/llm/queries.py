@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import hilbert, minhash, phrase_index, secret_ledger
+from revlumen.llm import hilbert, minhash, phrase_index, secret_ledger, token_store
 from revlumen.llm.common import read_table
 
 
@@ -10,6 +10,10 @@ def op1_secret_ledger(spark, folder):
     return secret_ledger.documents_query(spark, read_table(spark, folder, "documents"))
 
 
+def op2_token_store(spark, folder):
+    return token_store.documents_query(read_table(spark, folder, "documents"))
+
+
 def op4_hilbert_shards(spark, folder):
     return hilbert.documents_query(read_table(spark, folder, "documents"))
 
@@ -24,6 +28,7 @@ def op10_phrase_index(spark, folder):
 
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
+    "op2_token_store": op2_token_store,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op10_phrase_index": op10_phrase_index,

@@ -34,6 +34,8 @@ BLOCK_IDS = 1 << 20
 CACHED_PARTS = 1_000_000
 LASTING_PARTS = 500_000
 SELECT_STEP = 64
+# No blank lies beyond this plane's start.
+RARE_BLANKS = [c for c in map(chr, range(0x3100)) if c.isspace() and c not in " \n"] + ["\0"]
 BLOCK_SCHEMA = ("shard int, block int, shard_start bigint, n_ids bigint, n_docs int, doc_ids array<{id}>, width int, "
                 "ends binary, ids binary")
 
@@ -124,7 +126,8 @@ class Encoder:
     def _cut(self, text: str) -> list[str]:
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         # As many words as parts: single blanks or line breaks only. Other texts are cut by the general rule.
-        return parts if len(parts) == len(text.split()) else self._CUT.split(text)
+        simple = len(parts) == len(text.split()) and not any(blank in text for blank in RARE_BLANKS)
+        return parts if simple else self._CUT.split(text)
 
     def _learn(self, unseen: set[str]) -> None:
         """Encode parts, those of plain letters many at a time.

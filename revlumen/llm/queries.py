@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import hilbert, minhash, phrase_index, secret_ledger, token_store
+from revlumen.llm import hilbert, language, minhash, phrase_index, secret_ledger, token_store
 from revlumen.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op5_circulant_minhash(spark, folder):
     return minhash.documents_query(read_table(spark, folder, "documents"))
 
 
+def op6_language(spark, folder):
+    return language.documents_query(read_table(spark, folder, "documents"))
+
+
 def op10_phrase_index(spark, folder):
     return phrase_index.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -31,5 +35,6 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
+    "op6_language": op6_language,
     "op10_phrase_index": op10_phrase_index,
 }

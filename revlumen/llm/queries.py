@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import hilbert, language, minhash, phrase_index, secret_ledger, token_store
+from revlumen.llm import hilbert, language, minhash, mixing, phrase_index, secret_ledger, token_store
 from revlumen.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op6_language(spark, folder):
     return language.documents_query(read_table(spark, folder, "documents"))
 
 
+def op7_budget_mix(spark, folder):
+    return mixing.documents_query(read_table(spark, folder, "documents"))
+
+
 def op10_phrase_index(spark, folder):
     return phrase_index.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -36,5 +40,6 @@ QUERIES = {
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_language": op6_language,
+    "op7_budget_mix": op7_budget_mix,
     "op10_phrase_index": op10_phrase_index,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import hilbert, language, minhash, mixing, phrase_index, secret_ledger, token_store
+from revlumen.llm import hilbert, language, minhash, mixing, neighbours, phrase_index, secret_ledger, token_store
 from revlumen.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op7_budget_mix(spark, folder):
     return mixing.documents_query(read_table(spark, folder, "documents"))
 
 
+def op8_one_bit_codes(spark, folder):
+    return neighbours.embeddings_query(read_table(spark, folder, "embeddings"))
+
+
 def op10_phrase_index(spark, folder):
     return phrase_index.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -41,5 +45,6 @@ QUERIES = {
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_language": op6_language,
     "op7_budget_mix": op7_budget_mix,
+    "op8_one_bit_codes": op8_one_bit_codes,
     "op10_phrase_index": op10_phrase_index,
 }

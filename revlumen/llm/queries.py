@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import hilbert, language, minhash, mixing, neighbours, phrase_index, secret_ledger, token_store
+from revlumen.llm import fuzzy_lines, hilbert, language, minhash, mixing, neighbours, phrase_index, secret_ledger, token_store
 from revlumen.llm.common import read_table
 
 
@@ -34,6 +34,10 @@ def op8_one_bit_codes(spark, folder):
     return neighbours.embeddings_query(read_table(spark, folder, "embeddings"))
 
 
+def op9_fuzzy_lines(spark, folder):
+    return fuzzy_lines.documents_query(read_table(spark, folder, "documents"))
+
+
 def op10_phrase_index(spark, folder):
     return phrase_index.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -46,5 +50,6 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_budget_mix": op7_budget_mix,
     "op8_one_bit_codes": op8_one_bit_codes,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_phrase_index": op10_phrase_index,
 }

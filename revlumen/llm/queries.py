@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revlumen.llm import fuzzy_lines, hilbert, language, minhash, mixing, neighbours, phrase_index, secret_ledger, token_store
+from revlumen.llm import chunk_dedup, fuzzy_lines, hilbert, language, minhash, mixing, neighbours, phrase_index, secret_ledger, token_store
 from revlumen.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op2_token_store(spark, folder):
     return token_store.documents_query(read_table(spark, folder, "documents"))
 
 
+def op3_content_chunks(spark, folder):
+    return chunk_dedup.documents_query(read_table(spark, folder, "documents"))
+
+
 def op4_hilbert_shards(spark, folder):
     return hilbert.documents_query(read_table(spark, folder, "documents"))
 
@@ -45,6 +49,7 @@ def op10_phrase_index(spark, folder):
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_token_store": op2_token_store,
+    "op3_content_chunks": op3_content_chunks,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_circulant_minhash": op5_circulant_minhash,
     "op6_language": op6_language,

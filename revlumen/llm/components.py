@@ -44,7 +44,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column],
-                 rounds: int = PIVOT_ROUNDS) -> DataFrame:
+                 rounds: int = PIVOT_ROUNDS, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components ``node, component`` of all pairs that share a bucket and pass ``verify``.
 
     ``members`` holds ``bucket, node, about``, unique by bucket and node; ``may_link(about, about)`` is a cheap
@@ -53,6 +53,8 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     In each round every bucket checks its members against one pivot. Members that are connected by then need no
     check against each other, so a group of copies costs a row per member. At last the pairs that share a bucket
     but no component are checked, all of them, so nothing that shares a bucket and passes ``verify`` is lost.
+    ``narrow`` may replace that last list by a shorter one without loss: it takes ``node, component`` of the
+    members concerned and returns pairs ``a, b`` that hold every link between two components.
     """
     crowded = members.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     members = staged(members.join(crowded, "bucket", "left_semi"), "members")
@@ -70,13 +72,16 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
                 F.col("_p.component").alias("_component"))
             met = labelled.join(pivots, "bucket").where(
                 (F.col("component") != F.col("_component")) & may_link(F.col("about"), F.col("_about")))
+            pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        elif narrow is not None:
+            pairs = narrow(staged(labelled.join(split, "bucket", "left_semi").select("node", "component").distinct(), "mixed"))
         else:
             mixed = labelled.join(split, "bucket", "left_semi")
             other = mixed.select("bucket", F.col("node").alias("_node"), F.col("about").alias("_about"),
                                  F.col("component").alias("_component"))
             met = mixed.join(other, "bucket").where(
                 (F.col("component") < F.col("_component")) & may_link(F.col("about"), F.col("_about")))
-        pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+            pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlumen.llm.common import staged
@@ -127,6 +128,46 @@ def _confirm(batches, size: int, percent: int):
         yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
 
+def _explode(batches, size: int):
+    hashes = _Words()
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            part = batch.slice(start, 256)
+            sets = [shingle_hashes(t, hashes, size) for t in part.column("text").to_pylist()]
+            counts = np.array([len(x) for x in sets], np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), counts))
+            yield pa.RecordBatch.from_arrays([
+                part.column("node").take(at), part.column("component").take(at),
+                pa.array(np.repeat(counts, counts).astype(np.int32)),
+                pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+
+
+def prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``node, component, text`` that hold every link between two components.
+
+    Sets that are similar enough share one of their rarest shingles: of n shingles, at least ``percent`` per cent
+    must be shared, so the n - that + 1 rarest cannot all be missed. Shingles of one text only come first and
+    pair with nothing, so a text that differs from a large group by words of its own costs few pairs.
+    """
+    narrow = texts.select(F.xxhash64("node").alias("node"), F.xxhash64("component").alias("component"), "text")
+    shingles = staged(narrow.mapInArrow(lambda b: _explode(b, size), "node bigint, component bigint, n int, shingle bigint"), "shingles")
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("found")).where("found > 1")
+    own = W.partitionBy("node")
+    rare = shingles.join(shared, "shingle").withColumn("_shared", F.count("*").over(own)).withColumn(
+        "_rank", F.row_number().over(own.orderBy("found", "shingle")))
+    first = staged(rare.where(F.col("_rank") + F.col("n") - F.col("_shared") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(
+        "node", "component", "n", "shingle"), "prefixes")
+    other = first.select(F.col("node").alias("_node"), F.col("component").alias("_component"), F.col("n").alias("_n"), "shingle")
+    met = first.join(other, "shingle").where(
+        (F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component"))
+        & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")))
+    pairs = met.select("node", "_node").distinct()
+    name = texts.select(F.xxhash64("node").alias("_id"), F.col("node").alias("_name"))
+    for column, out in (("node", "x"), ("_node", "y")):
+        pairs = pairs.join(name.withColumnsRenamed({"_id": column, "_name": out}), column)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _nodes(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
 
@@ -147,20 +188,25 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     def may_link(left, right):
         return 100 * F.least(left, right) >= percent * F.greatest(left, right)
 
-    def verify(pairs):
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def texts_of(asked):
         holders = nodes.select("node", "doc_id").join(asked, "node", "left_semi").select(
             F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
         # By node and id, so that the copies of a text do not meet in one task.
         held = _nodes(documents).join(
             holders, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["node", "doc_id"])
-        held = staged(held.select("node", "text"), "candidate-texts")
+        return staged(held.select("node", "text"), "candidate-texts")
+
+    def narrow(mixed):
+        return prefix_pairs(texts_of(mixed).join(mixed, "node"), size, percent)
+
+    def verify(pairs):
+        held = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
             held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(
             lambda batches: _confirm(batches, size, percent), "a binary, b binary")
 
-    components = link_members(members, verify, may_link)
+    components = link_members(members, verify, may_link, narrow=narrow)
     least = components.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = components.join(least, "component").select("node", "component_id")
     alone = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))

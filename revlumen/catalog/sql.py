@@ -584,7 +584,7 @@ ORACLE_SQL = {
     "budget_guard": f"""
         WITH {CALLS},
         summed AS (
-          SELECT seq, coalesce(sum(units) OVER (ORDER BY ts DESC, seq
+          SELECT seq, coalesce(sum(CASE WHEN ok THEN units ELSE 0 END) OVER (ORDER BY ts DESC, seq
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cost_before_units FROM priced)
         SELECT seq, cost_before_units, cost_before_units < 50000000 AS within_budget FROM summed""",
     "knn_search": f"""

@@ -122,9 +122,13 @@ def budget_guard(routed: DataFrame, budget_usd: float, order) -> DataFrame:
     """Add ``cost_before_usd`` and ``within_budget`` in the given order.
 
     A review is sent only while the cost of those before it is below the
-    budget.
+    budget. A failed call (``ok`` false, or an ``error_message``) costs nothing.
     """
     cost = cost_units(F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
+    if "ok" in routed.columns:
+        cost = F.when(F.coalesce(F.col("ok"), F.lit(True)), cost).otherwise(0)
+    if "error_message" in routed.columns:
+        cost = F.when(F.col("error_message").isNull(), cost).otherwise(0)
     summed = running_total(routed, [], list(order), cost, "_before")
     limit = round(budget_usd * UNITS_PER_USD)
     return summed.select(*routed.columns, to_usd(F.col("_before")).alias("cost_before_usd"),

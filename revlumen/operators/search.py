@@ -86,25 +86,17 @@ def search(index: DataFrame, query_vector, options: SearchOptions = SearchOption
            candidate_limit: int | None = None) -> DataFrame:
     """Nearest index rows that pass the filters.
 
-    Filters run before the ranking, so no match is lost to a candidate bound
-    and ranks count matching rows. ``candidate_limit`` ranks that many rows
-    first and filters afterwards; a date sort always does, as otherwise the
-    query would have no effect on it.
+    Filters run before the ranking in every mode, so no match is lost to a
+    row that does not match, and ranks count matching rows. A date sort takes
+    the nearest ``candidate_limit`` matches and orders them by date.
     """
-    bound = candidate_limit or (DATE_SORT_CANDIDATES if options.sort_by == "date" else None)
-    rows = index.select("id", "embedding", *metadata_columns(index))
-    query = _one_query(index, query_vector)
-    if bound is None:
-        rows = filter_hits(rows, options)
-        hits = nearest(rows, query, options.limit, metric)
-    else:
-        hits = nearest(rows, query, bound, metric)
+    bound = candidate_limit or (DATE_SORT_CANDIDATES if options.sort_by == "date" else options.limit)
+    rows = filter_hits(index.select("id", "embedding", *metadata_columns(index)), options)
+    hits = nearest(rows, _one_query(index, query_vector), bound, metric)
     hits = hits.select("id", "relevance_rank")
-    if (bound or options.limit) <= MAX_BROADCAST_HITS:
+    if bound <= MAX_BROADCAST_HITS:
         hits = F.broadcast(hits)
     found = rows.drop("embedding").join(hits, "id")
-    if bound is not None:
-        found = filter_hits(found, options)
     return sort_hits(found, options).limit(options.limit)
 
 

@@ -219,8 +219,13 @@ def not_yet_indexed(new: DataFrame, existing: DataFrame, key: str = "review_id")
 
 
 def append_new(new: DataFrame, index_path: str, key: str = "review_id") -> None:
-    """Append the rows that a Parquet index table does not hold yet."""
-    existing = new.sparkSession.read.parquet(index_path)
+    """Append the rows that a Parquet index table does not hold yet; the first load finds none."""
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(index_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        new.write.parquet(index_path)
+        return
+    existing = spark.read.parquet(index_path)
     not_yet_indexed(new, existing, key).write.mode("append").parquet(index_path)
 
 

@@ -9,6 +9,8 @@ from revlumen.functions.rules import classify
 from revlumen.operators.calls import budget_guard, cost_units, to_usd
 from revlumen.operators.filters import DAY_COLUMN, newest_first, review_time
 from revlumen.operators.labels import analyzed_rows, merge_labels
+from revlumen.operators.validity import keep_first
+from revlumen.schema import optional
 # Thresholds and texts of the run report.
 DEFAULT_RECENT_REVIEWS = 300
 COVERAGE_DROP_RATIO = 0.4
@@ -33,13 +35,20 @@ def classify_reviews(reviews: DataFrame, labels: DataFrame | None = None,
     return merge_labels(classify(rows), labels)
 
 
+def _first_calls(labels: DataFrame) -> DataFrame:
+    """One call per review, the one whose answer ``merge_labels`` takes."""
+    order = "seq" if "seq" in labels.columns else "raw_response"
+    calls = labels.select("review_id", "model", "input_tokens", "output_tokens", optional(labels, "error_message").alias("error_message"),
+                          F.col(order).alias("_order"))
+    return keep_first(calls, "review_id", "_order").drop("_order")
+
+
 def apply_budget(rows: DataFrame, labels: DataFrame, budget_usd: float) -> DataFrame:
     """Mark which routed reviews fit the budget, newest first.
 
-    Each routed review costs what its label row says; failed calls are free.
+    Each routed review costs what its first label row says; failed calls are free.
     """
-    routed = rows.where("needs_label").select("review_id", "review_ts", "seq").join(
-        labels.select("review_id", "model", "input_tokens", "output_tokens"), "review_id")
+    routed = rows.where("needs_label").select("review_id", "review_ts", "seq").join(_first_calls(labels), "review_id")
     guarded = budget_guard(routed, budget_usd, recency_order())
     return rows.join(guarded.select("review_id", "within_budget"), "review_id", "left")
 
@@ -114,6 +123,6 @@ def analyze_metadata(rows: DataFrame, available: int | None = None, labels: Data
 
 def _label_cost(rows: DataFrame, labels: DataFrame):
     """Cost of the answered calls, as a scalar."""
-    used = rows.where("needs_label and fallback_reason is null").select("review_id").join(labels, "review_id")
+    used = rows.where("needs_label and fallback_reason is null").select("review_id").join(_first_calls(labels), "review_id")
     cost = F.sum(cost_units(F.col("model"), F.col("input_tokens"), F.col("output_tokens")))
     return used.agg(to_usd(F.coalesce(cost, F.lit(0))).alias("c")).scalar()

@@ -106,6 +106,14 @@ def test_severity_parts_sum_to_cluster_counts(spark):
     assert sum(c["review_count"] for c in clusters) == rows_in.count()
 
 
+def test_budget_charges_answers_once(spark, reviews):
+    failed_first = [("3", None, "timeout", "gpt-4o", 1000, 1000)]
+    answered = [(i, '{"severity": "P2"}', None, "gpt-4o", 1000, 1000) for i in ("1", "2")] * 2
+    guarded = analyze.apply_budget(analyze.classify_reviews(reviews), label_table(spark, failed_first + answered), 0.03)
+    routed = rows(guarded.where("needs_label"), "review_id", "within_budget")
+    assert sorted(routed) == sorted(set(routed)) and dict(routed)["3"] and dict(routed)["2"] and dict(routed)["1"]
+
+
 def test_budget_falls_back(spark, reviews):
     table = label_table(spark, [(r[0], '{"severity": "P2"}', None, "gpt-4o", 1000, 1000) for r in REVIEWS])
     classified = analyze.classify_reviews(reviews)

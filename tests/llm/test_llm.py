@@ -260,3 +260,61 @@ def test_pipeline(spark):
         documents = spark.createDataFrame(following.collect(), following.schema)
     assert 0 < documents.count()
     assert corpus_pipeline.run(spark, folder).count() == documents.count()
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def linked(texts):
+    """The first text of each group that edit similarity 0.9 connects."""
+    plains, label = [fuzzy_lines.normalised(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = plains[i], plains[j]
+        longer = max(len(a), len(b))
+        if 10 * abs(len(a) - len(b)) <= longer and label[i] != label[j] and 10 * edit_distance(a, b) <= longer:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    return label
+
+
+def edited(rng, line, edits):
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    for _ in range(edits):
+        at, how = int(rng.integers(len(line))), int(rng.integers(3))
+        line = line[:at] + (str(rng.choice(letters)) if how else "") + line[at + (how != 1):]
+    return line
+
+
+def test_fuzzy_lines_verify_all_that_share_a_block(spark):
+    simhash, plenty = fuzzy_lines.SimHash(), 0
+    rng = np.random.default_rng(21)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)]
+    texts = []
+    for trial in range(20_000):
+        line = [names[int(i)] for i in rng.integers(0, 4000, 4)]
+        other = [line[0][:-1] + "é", *line[1:]]
+        a, b = simhash.blocks(line), simhash.blocks(other)
+        if (a.view(">u4") == b.view(">u4")).any() and int(np.unpackbits(a ^ b).sum()) > 48:
+            texts += [" ".join(line), " ".join(other)]
+            plenty += 1
+        if plenty == 3:
+            break
+    assert plenty == 3
+    rows = {r["doc_id"]: r for r in fuzzy_lines.documents_query(docs_of(spark, texts)).collect()}
+    assert [rows[i]["n_removed"] for i in range(6)] == [0, 1] * 3
+
+
+def test_pair_parities_lose_no_link():
+    rng = np.random.default_rng(22)
+    for n in (4, 9, 20, 60):
+        line = words(rng, n)
+        for edits in range(1, 8):
+            other = edited(rng, line, edits)
+            a, b = fuzzy_lines.pair_parities([line, other])
+            assert int(np.unpackbits((a ^ b).view(np.uint8)).sum()) <= 4 * edits

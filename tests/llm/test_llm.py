@@ -318,3 +318,21 @@ def test_pair_parities_lose_no_link():
             other = edited(rng, line, edits)
             a, b = fuzzy_lines.pair_parities([line, other])
             assert int(np.unpackbits((a ^ b).view(np.uint8)).sum()) <= 4 * edits
+
+
+def test_fuzzy_lines_equal_brute_force(spark):
+    rng = np.random.default_rng(23)
+    names = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(n))) for n in rng.integers(1, 9, 3000)]
+    texts = []
+    for n in (4, 5, 6, 8, 10, 15, 20, 30, 45, 60):
+        for _ in range(4):
+            line = " ".join(names[int(i)] for i in rng.integers(0, 3000, n))
+            # As many edits as are allowed, and a few more or less, all over the line.
+            texts += [line, *[edited(rng, line, max(1, len(line) // 10 + d)) for d in (-9, -3, -1, 0, 1)]]
+            spread = list(line)
+            spread[9::10] = "#" * len(spread[9::10])
+            texts.append("".join(spread).replace("#", "q"))
+    label = linked(texts)
+    assert len(set(label)) < len(texts) / 2
+    rows = {r["doc_id"]: r for r in fuzzy_lines.documents_query(docs_of(spark, texts)).collect()}
+    assert [i for i in range(len(texts)) if not rows[i]["n_removed"]] == sorted(set(label))

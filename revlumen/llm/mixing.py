@@ -38,9 +38,9 @@ def words_in(text: Column) -> Column:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that the sum comes near ``budget`` from below.
+    """How many documents of each length to take, so that the sum comes near ``budget``.
 
-    ``lengths`` are distinct and positive.
+    One document more or fewer never brings the sum nearer. ``lengths`` are distinct and positive.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -55,7 +55,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         more = min(int(counts[i] - taken[i]), (left - KNAPSACK_WORDS) // int(lengths[i]))
         taken[i] += more
         left -= more * int(lengths[i])
-    return taken + _knapsack(lengths, counts - taken, min(left, KNAPSACK_WORDS * 2))
+    if left <= KNAPSACK_WORDS * 2:
+        taken = taken + _knapsack(lengths, counts - taken, left)
+    else:
+        # Every length that is left is above left - KNAPSACK_WORDS, so that no two of them fit: the longest that fits is best.
+        fits = np.where((counts > taken) & (lengths <= left), lengths, 0)
+        if fits.any():
+            taken[np.argmax(fits)] += 1
+    # One document more or fewer, as long as that comes nearer.
+    left = budget - int((lengths * taken).sum())
+    while left:
+        held = counts > taken if left > 0 else taken > 0
+        missed = np.where(held, np.abs(lengths - abs(left)), abs(left))
+        best = int(np.argmin(missed))
+        if missed[best] >= abs(left):
+            break
+        step = 1 if left > 0 else -1
+        taken[best] += step
+        left -= step * int(lengths[best])
+    return taken
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

@@ -336,3 +336,24 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert len(set(label)) < len(texts) / 2
     rows = {r["doc_id"]: r for r in fuzzy_lines.documents_query(docs_of(spark, texts)).collect()}
     assert [i for i in range(len(texts)) if not rows[i]["n_removed"]] == sorted(set(label))
+
+
+def test_mixing_very_long_documents():
+    assert mixing.fit(np.array([100_000]), np.array([3]), 120_000).tolist() == [1]
+    assert mixing.fit(np.array([100_000]), np.array([3]), 190_000).tolist() == [2]
+    assert mixing.fit(np.array([100_000, 110_000, 130_000]), np.array([1, 1, 1]), 120_000).tolist() == [0, 1, 0]
+    rng = np.random.default_rng(24)
+    for _ in range(200):
+        lengths = rng.choice(np.arange(20_000, 300_000), 4, replace=False)
+        counts = rng.integers(0, 4, 4)
+        budget = int(rng.integers(0, int(lengths.sum()) * 2))
+        sums = [int(np.dot(t, lengths)) for t in itertools.product(*[range(c + 1) for c in counts])]
+        taken = mixing.fit(lengths, counts, budget)
+        missed = abs(int(np.dot(taken, lengths)) - budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert budget >= max(sums) or missed <= min(max(lengths), budget)
+        # One document more or fewer is never nearer.
+        for i, length in enumerate(lengths):
+            for step in (-1, 1):
+                if 0 <= taken[i] + step <= counts[i]:
+                    assert abs(int(np.dot(taken, lengths)) + step * int(length) - budget) >= missed

@@ -357,3 +357,66 @@ def test_mixing_very_long_documents():
             for step in (-1, 1):
                 if 0 <= taken[i] + step <= counts[i]:
                     assert abs(int(np.dot(taken, lengths)) + step * int(length) - budget) >= missed
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import collections
+
+    import corpus_pipeline
+
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    given = [r.asDict() for r in real.where("length(text) > 300").orderBy("doc_id").limit(60).collect()]
+    item = words(np.random.default_rng(41), 25)
+    top = max(r["doc_id"] for r in given)
+    extra = [{**r, "text": r["text"].upper()} for r in given[:4]] + [{**r, "text": r["text"] + " end"} for r in given[4:8]]
+    extra += [{**r, "text": r["text"] + " " + item} for r in given[8:10]] + [{**given[0], "text": t} for t in (None, "", "12 34")]
+    docs = given + [{**r, "doc_id": top + 1 + i} for i, r in enumerate(extra)]
+    spark.createDataFrame([tuple(r[c] for c in real.columns) for r in docs], real.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("q", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    scorer = language.Scorer(language.learned_from(spark.read.parquet(str(tmp_path / "documents.parquet"))))
+    names, certain = scorer.texts([r["text"] for r in docs])
+    docs = [r for r, name, c in zip(docs, names, certain) if name != language.UNKNOWN and c >= 0.5]
+    assert len(docs) >= 60
+    hashes = minhash._Words()
+    sets = [set(minhash.shingle_hashes(r["text"], hashes, 5).tolist()) for r in docs]
+    label = list(range(len(docs)))
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    docs = [r for i, r in enumerate(docs) if label[i] == i]
+
+    def windows(text):
+        found = re.findall(r"[0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        return {tuple(found[i:i + 10]) for i in range(len(found) - 9)}
+
+    docs = [r for r in docs if not windows(r["text"]) & windows(item)]
+    assert 50 <= len(docs) < 68
+    rows = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    times, about = collections.Counter(rows), {r["doc_id"]: (r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in docs}
+    assert times.keys() <= about.keys()
+    sizes = collections.Counter()
+    for source, size in about.values():
+        sizes[source] += size
+    weight = {s: 1 + i % 3 for i, s in enumerate(sorted(sizes))}
+    full = set()
+    while True:
+        open_ = [s for s in sizes if s not in full]
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in full)) / sum(weight[s] for s in open_)
+        more = {s for s in open_ if 3 * sizes[s] <= weight[s] * level}
+        if not more:
+            break
+        full |= more
+    got = collections.Counter()
+    for doc, n in times.items():
+        got[about[doc]] += n
+    for source in sizes:
+        target = min(3 * sizes[source], weight[source] * level)
+        counts = collections.Counter(size for s, size in about.values() if s == source)
+        lengths = np.array(sorted(counts))
+        n = np.array([counts[x] for x in lengths])
+        passes = min(round(target) // sizes[source], 3)
+        extra = mixing.fit(lengths, n, round(target) - passes * sizes[source]) if passes < 3 else 0 * n
+        assert [got[source, int(x)] for x in lengths] == (passes * n + extra).tolist()
+        assert all(passes <= times[d] <= passes + 1 for d, (s, _) in about.items() if s == source)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from revlumen.llm import chunk_dedup, fuzzy_lines, hilbert, language, minhash, mixing, neighbours, phrase_index, secret_ledger, token_store
+from revlumen.llm import chunk_dedup, filter_audit, fuzzy_lines, hilbert, language, minhash, mixing, neighbours, phrase_index
+from revlumen.llm import ranked_search, secret_ledger, token_store, url_filter
 from revlumen.llm.common import read_table
 
 
@@ -46,6 +47,18 @@ def op10_phrase_index(spark, folder):
     return phrase_index.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
 
+def op11_url_models(spark, folder):
+    return url_filter.pages_query(read_table(spark, folder, "pages"))
+
+
+def op12_filter_audit(spark, folder):
+    return filter_audit.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op13_ranked_search(spark, folder):
+    return ranked_search.documents_query(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_ledger": op1_secret_ledger,
     "op2_token_store": op2_token_store,
@@ -57,4 +70,7 @@ QUERIES = {
     "op8_one_bit_codes": op8_one_bit_codes,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_phrase_index": op10_phrase_index,
+    "op11_url_models": op11_url_models,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_ranked_search": op13_ranked_search,
 }

@@ -25,7 +25,6 @@ documents there are no rows. Only the named columns are read.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -46,19 +45,20 @@ SHARD_DOCUMENTS, SHARD_CELLS = 4096, 1 << 24
 BLOCK_DOCUMENTS = 256
 SKETCH = 32
 SEED_BLOCKS = 200
+# Seeds come from the lists at the head of an item's order: from the part of it that can add so much of all it can
+# add. Items that find too few documents there go on to the next share.
+SEED_SHARES = (0.5, 0.125, 0.0)
 # Impacts stay below a million; a summary holds them in steps that fit a byte.
 STEP = 3922
-SCORED_AT_ONCE = 1 << 21
-_TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_FOLD = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
+SCORED_AT_ONCE, BOUNDED_AT_ONCE = 1 << 19, 2048
+# Digits, folded letters and whatever is not ASCII stay, the rest is blank. Works on UTF-8: all bytes of other
+# characters are 128 or more.
+_FOLD = bytes(c if c >= 128 or chr(c).isalnum() and not chr(c).isupper() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
 
-def terms_of(text: str | None) -> Counter:
-    """Terms and how often they occur."""
-    found: Counter = Counter()
-    for word, times in Counter(_TERM.findall(text or "")).items():
-        found[word.translate(_FOLD)] += times
-    return found
+def terms_of(text: bytes | None) -> Counter:
+    """Terms of a UTF-8 text and how often they occur."""
+    return Counter((text or b"").translate(_FOLD).split())
 
 
 @dataclass
@@ -66,13 +66,13 @@ class Items:
     """A bounded block of items: ids, terms by number, and each item's terms in the order of what they can add."""
 
     ids: list = field(default_factory=list)
-    own_terms: list[list[str]] = field(default_factory=list)
-    number: dict[str, int] = field(default_factory=dict)
+    own_terms: list[list[bytes]] = field(default_factory=list)
+    number: dict[bytes, int] = field(default_factory=dict)
     order: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     rests: list[np.ndarray] = field(default_factory=list)
 
-    def add(self, item_id, terms: list[str]) -> None:
+    def add(self, item_id, terms: list[bytes]) -> None:
         self.ids.append(item_id)
         self.own_terms.append(terms)
         for term in terms:
@@ -98,10 +98,10 @@ class Items:
 def item_blocks(benchmark: DataFrame):
     """The items in blocks of at most ``ITEMS`` items and, but for a single larger item, ``TERMS`` terms."""
     rows = benchmark.select("item_id", "text", row_hash("text").alias("_row")).dropDuplicates(["item_id", "_row"]).orderBy(
-        "item_id", "_row").select("item_id", "text")
+        "item_id", "_row").select("item_id", F.col("text").cast("binary"))
     block = Items()
     for item_id, text in rows.toLocalIterator():
-        terms = sorted(terms_of(text))
+        terms = sorted(terms_of(bytes(text) if text is not None else None))
         if block.ids and (len(block.ids) == ITEMS or len(block.number.keys() | terms) > TERMS):
             yield block
             block = Items()
@@ -110,7 +110,7 @@ def item_blocks(benchmark: DataFrame):
         yield block
 
 
-def term_vectors(documents: DataFrame, number: dict[str, int]) -> DataFrame:
+def term_vectors(documents: DataFrame, number: dict[bytes, int]) -> DataFrame:
     """``shard, place, doc_id, n, terms, times`` for each document with a term; ``n`` counts all its terms.
 
     ``terms`` are numbers of the terms asked for. A shard is a run of documents of one task; its number is fixed
@@ -142,7 +142,7 @@ def term_vectors(documents: DataFrame, number: dict[str, int]) -> DataFrame:
                  pa.array(terms, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int64()))],
                 names=["shard", "place", "doc_id", "n", "terms", "times"])
 
-    return documents.select("doc_id", "text").mapInArrow(count, schema)
+    return documents.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(count, schema)
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -177,17 +177,16 @@ def term_blocks(vectors: DataFrame, width: int, documents: int, terms: int) -> D
         found, starts = np.unique(term[by_term], return_index=True)
         names, members, summaries = [], [], []
         for t, held in zip(found.tolist(), np.split(row[by_term], starts[1:])):
-            cuts = np.zeros(1, np.int64)
+            parted = [held]
             if len(held) > BLOCK_DOCUMENTS:
                 parts = -(-len(held) // BLOCK_DOCUMENTS)
                 centres = sketch[held[np.linspace(0, len(held) - 1, parts).astype(np.int64)]]
                 nearest = np.argmax(sketch[held] @ centres.T, axis=1)
                 order = np.argsort(nearest, kind="stable")
-                held, cuts = held[order], np.unique(nearest[order], return_index=True)[1]
-            summary = np.maximum.reduceat(dense[held], cuts, axis=0)
-            names += [t] * len(cuts)
-            members += np.split(place[held], cuts[1:])
-            summaries += [s.tobytes() for s in summary]
+                parted = np.split(held[order], np.unique(nearest[order], return_index=True)[1][1:])
+            names += [t] * len(parted)
+            members += [place[p] for p in parted]
+            summaries += [dense[p].max(axis=0).tobytes() for p in parted]
         return pa.table({"shard": pa.array([shard] * len(names), pa.int64()), "term": pa.array(names, pa.int32()),
                          "members": pa.array(members, pa.list_(pa.int32())), "summary": pa.array(summaries, pa.binary())})
 
@@ -195,38 +194,42 @@ def term_blocks(vectors: DataFrame, width: int, documents: int, terms: int) -> D
         build, "shard bigint, term int, members array<int>, summary binary")
 
 
-def within_reach(blocks: DataFrame, items: Items, floors: np.ndarray) -> DataFrame:
-    """``item, bound, shard, members``: blocks of an item's lists that may hold a document of its floor or more."""
+def within_reach(blocks: DataFrame, items: Items, floors: np.ndarray, share: float = 0.0) -> DataFrame:
+    """``item, bound, shard, members``: blocks of an item's lists that may hold a document of its floor or more.
+
+    With a ``share``, lists whose rest of the order can add less than this share of the whole order are left out.
+    """
     width = len(items.number)
     asked: dict[int, list[tuple[int, int]]] = {}
     for item, order in enumerate(items.order):
         for at, term in enumerate(order.tolist()):
-            if items.rests[item][at] >= floors[item]:
+            if items.rests[item][at] >= max(floors[item], share * items.rests[item][0]):
                 asked.setdefault(term, []).append((item, at))
     shared = blocks.sparkSession.sparkContext.broadcast((asked, items.order, items.weights, floors))
 
     def bound(batches):
         asked, orders, weights, floors = shared.value
-        for batch in batches:
-            term = batch.column("term").to_numpy()
-            summary = np.frombuffer(b"".join(batch.column("summary").to_pylist()), np.uint8).reshape(-1, width)
+        for part in (batch.slice(start, BOUNDED_AT_ONCE) for batch in batches for start in range(0, len(batch), BOUNDED_AT_ONCE)):
+            term = part.column("term").to_numpy()
+            summary = np.frombuffer(b"".join(part.column("summary").to_pylist()), np.uint8).reshape(-1, width)
             by_term = np.argsort(term, kind="stable")
             found, starts = np.unique(term[by_term], return_index=True)
-            item_parts, bound_parts, row_parts = [], [], []
             for t, rows in zip(found.tolist(), np.split(by_term, starts[1:])):
                 own = summary[rows]
+                item_parts, bound_parts, row_parts = [], [], []
                 for item, at in asked.get(t, ()):
                     bounds = own[:, orders[item][at:]].astype(np.int64) @ weights[item][at:] * STEP
                     near = np.flatnonzero(bounds >= floors[item])
-                    item_parts.append(np.full(len(near), item, np.int32))
-                    bound_parts.append(bounds[near])
-                    row_parts.append(rows[near])
-            if row_parts:
-                row = pa.array(np.concatenate(row_parts), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(item_parts)), pa.array(np.concatenate(bound_parts)),
-                     batch.column("shard").take(row), batch.column("members").take(row)],
-                    names=["item", "bound", "shard", "members"])
+                    if len(near):
+                        item_parts.append(np.full(len(near), item, np.int32))
+                        bound_parts.append(bounds[near])
+                        row_parts.append(rows[near])
+                if row_parts:
+                    row = pa.array(np.concatenate(row_parts), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(item_parts)), pa.array(np.concatenate(bound_parts)),
+                         part.column("shard").take(row), part.column("members").take(row)],
+                        names=["item", "bound", "shard", "members"])
 
     wanted = blocks.where(F.col("term").isin(list(asked))) if len(asked) < width // 4 else blocks
     return wanted.mapInArrow(bound, "item int, bound bigint, shard bigint, members array<int>")
@@ -284,14 +287,18 @@ def search(documents: DataFrame, items: Items, top: int = TOP, seed_blocks: int
     stats = each.groupBy(F.col("p.terms").alias("term")).agg(F.count("*").alias("df"), F.max(impact).alias("most")).collect()
     items.weigh({r["term"]: r["df"] for r in stats}, {r["term"]: r["most"] for r in stats}, count)
     blocks = staged(term_blocks(vectors, len(items.number), count, total), "term-blocks")
-    least = np.ones(len(items.ids), np.int64)
     place = F.row_number().over(W.partitionBy("item").orderBy(F.desc("bound"), "shard", F.xxhash64("members")))
-    seeds = within_reach(blocks, items, least).withColumn("_place", place).where(F.col("_place") <= seed_blocks)
-    floors = least.copy()
-    for item, lowest, n in _best(scored(vectors, seeds, items, least, count, total), top).groupBy("item").agg(
-            F.min("score"), F.count("*")).collect():
-        if n == top:
-            floors[item] = lowest
+    # Items that have their threshold are left out of later seeds by a floor that nothing reaches.
+    floors, settled = np.ones(len(items.ids), np.int64), np.iinfo(np.int64).max
+    for share in SEED_SHARES:
+        sought = np.where(floors > 1, settled, 1)
+        seeds = within_reach(blocks, items, sought, share).withColumn("_place", place).where(F.col("_place") <= seed_blocks)
+        best = _best(scored(vectors, seeds, items, sought, count, total), top)
+        for item, lowest, n in best.groupBy("item").agg(F.min("score"), F.count("*")).collect():
+            if n == top:
+                floors[item] = lowest
+        if (floors > 1).all():
+            break
     return _best(scored(vectors, within_reach(blocks, items, floors), items, floors, count, total), top)
 
 

@@ -246,7 +246,7 @@ def test_summaries_bound_their_blocks(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(f"t{int(rng.expovariate(0.1))}" for _ in range(rng.choice([2, 30, 90]))), 1, 2, "x") for i in range(900)]
     documents = spark.createDataFrame(rows, RANKED_DOCUMENTS).coalesce(1)
-    number = {f"t{i}": i for i in range(40)}
+    number = {f"t{i}".encode(): i for i in range(40)}
     vectors = ranked_search.term_vectors(documents, number)
     held = {(r["shard"], r["place"]): r for r in vectors.collect()}
     n, total = len(held), sum(r["n"] for r in held.values())
@@ -258,4 +258,4 @@ def test_summaries_bound_their_blocks(spark):
             m = 50 + 50 * doc["n"] * n // total
             for t, k in zip(doc["terms"], doc["times"]):
                 assert block["summary"][t] * ranked_search.STEP >= 10**9 * k // (1000 * k + 20 * m)
-    assert seen == Counter(t for r in held.values() for t in r["terms"])
+    assert seen == Counter(t for r in held.values() for t in r["terms"]) and len({r["shard"] for r in held.values()}) == 1

@@ -16,7 +16,7 @@ from revlumen.operators import calls as calls_ops
 from revlumen.operators import change, evaluation, exports, filters, issues, labels, priority, search, themes
 from revlumen.operators import validity
 from revlumen.plans import alerts, analyze, drilldown, weekly
-from revlumen.session import prepare
+from revlumen.session import ensure_checkpoint_dir, prepare
 from revlumen.sources import event_reviews as source
 from revlumen.sources import store
 from revlumen.streaming import reviews as streaming
@@ -426,11 +426,27 @@ def search_filtered_query(spark, folder):
 
 
 def search_by_date_query(spark, folder):
+    index = _index(spark, folder)
+    options = search.SearchOptions(limit=20, sort_by="date", sort_direction="asc")
+    return search.search(index, _query_vector(index), options)
+
+
+def search_by_date_nearest_query(spark, folder):
+    """Date order of the hundred nearest, where a caller asks for that."""
     index = _index(spark, folder)
     options = search.SearchOptions(limit=20, sort_by="date", sort_direction="asc")
     return search.search(index, _query_vector(index), options, candidate_limit=100)
 
 
+def search_by_date_filtered_query(spark, folder):
+    """The newest matches of a stored index between two dates, with a minimal score."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{spark.range(1).select(F.uuid()).first()[0]}"
+    raw = _index(spark, folder)
+    search.write_index(raw, path)
+    options = search.SearchOptions(limit=50, min_score=2, start_date="2024-01-03", end_date="2024-01-20T12:00:00Z", sort_by="date")
+    return search.search(spark.read.parquet(path), _query_vector(raw), options, metric="l2")
+
+
 def search_metadata_query(spark, folder):
     options = search.SearchOptions(limit=50, min_score=3, sort_by="date")
     return search.search_metadata(_index(spark, folder), options)
@@ -443,6 +459,20 @@ def knn_batch_query(spark, folder):
     return search.search_batch(index, asked, 10).select("query_id", "id", "relevance_rank")
 
 
+def knn_all_query(spark, folder):
+    """Five neighbours of every vector of the table."""
+    index = _index(spark, folder)
+    asked = index.select(F.col("id").alias("query_id"), "embedding")
+    return search.search_batch(index, asked, 5, "l2").select("query_id", "id", "relevance_rank")
+
+
+def knn_many_query(spark, folder):
+    """The 1500 rows nearest to one vector."""
+    index = _index(spark, folder)
+    asked = index.where("id = 0").select(F.col("id").alias("query_id"), "embedding")
+    return search.search_batch(index, asked, 1500).select("query_id", "id", "relevance_rank")
+
+
 def index_status_query(spark, folder):
     return search.index_status(_index(spark, folder))
 
@@ -538,8 +568,12 @@ QUERIES = {
     "knn_search": knn_search_query,
     "search_filtered": search_filtered_query,
     "search_by_date": search_by_date_query,
+    "search_by_date_nearest": search_by_date_nearest_query,
+    "search_by_date_filtered": search_by_date_filtered_query,
     "search_metadata": search_metadata_query,
     "knn_batch": knn_batch_query,
+    "knn_all": knn_all_query,
+    "knn_many": knn_many_query,
     "index_status": index_status_query,
     "stream_alerts": stream_alerts_query,
     "stream_dedupe": stream_dedupe_query,

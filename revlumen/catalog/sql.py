@@ -292,7 +292,7 @@ idx AS (
   FROM embeddings),
 scored AS (
   SELECT idx.*, strftime(made, '%Y-%m-%dT%H:%M:%SZ') AS date,
-         round(1 - list_cosine_similarity(embedding, (SELECT embedding FROM idx WHERE id = 0)), 6) AS distance
+         round(1 - list_cosine_similarity(embedding, (SELECT embedding FROM idx WHERE id = 0)), 12) AS distance
   FROM idx)"""
 
 PAIRS = """
@@ -597,10 +597,21 @@ ORACLE_SQL = {
         FROM scored WHERE score BETWEEN 2 AND 4 AND made BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-15'
         ORDER BY distance, id LIMIT 20""",
     "search_by_date": f"""
+        WITH {INDEX},
+        ranked AS (SELECT *, (row_number() OVER (ORDER BY distance, id) - 1)::INTEGER AS relevance_rank FROM scored)
+        SELECT id, relevance_rank, author, content, score, date FROM ranked
+        ORDER BY coalesce(made, TIMESTAMP '1970-01-01'), relevance_rank LIMIT 20""",
+    "search_by_date_nearest": f"""
         WITH {INDEX},
         ranked AS (SELECT *, (row_number() OVER (ORDER BY distance, id) - 1)::INTEGER AS relevance_rank FROM scored)
         SELECT id, relevance_rank, author, content, score, date FROM ranked WHERE relevance_rank < 100
         ORDER BY coalesce(made, TIMESTAMP '1970-01-01'), relevance_rank LIMIT 20""",
+    "search_by_date_filtered": f"""
+        WITH {INDEX},
+        ranked AS (
+          SELECT *, (row_number() OVER (ORDER BY list_distance(embedding, (SELECT embedding FROM idx WHERE id = 0)), id) - 1)::INTEGER AS relevance_rank
+          FROM scored WHERE score >= 2 AND made BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20 12:00:00')
+        SELECT id, relevance_rank, author, content, score, date FROM ranked ORDER BY made DESC, relevance_rank LIMIT 50""",
     "search_metadata": f"""
         WITH {INDEX}
         SELECT id, 0 AS relevance_rank, CASE WHEN id % 9 <> 0 THEN author END AS author, content, score, date
@@ -611,9 +622,19 @@ ORACLE_SQL = {
         asked AS (SELECT label AS query_id, arg_min(embedding, id) AS q FROM idx GROUP BY label),
         ranked AS (
           SELECT query_id, id, row_number() OVER (PARTITION BY query_id
-                   ORDER BY round(1 - list_cosine_similarity(embedding, q), 6), id) - 1 AS r
+                   ORDER BY round(1 - list_cosine_similarity(embedding, q), 12), id) - 1 AS r
           FROM idx, asked)
         SELECT query_id, id, r::INTEGER AS relevance_rank FROM ranked WHERE r < 10""",
+    "knn_all": f"""
+        WITH {INDEX},
+        ranked AS (
+          SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.embedding, b.embedding), b.id) - 1 AS r
+          FROM idx a, idx b)
+        SELECT query_id, id, r::INTEGER AS relevance_rank FROM ranked WHERE r < 5""",
+    "knn_many": f"""
+        WITH {INDEX}
+        SELECT 0::BIGINT AS query_id, id, (row_number() OVER (ORDER BY distance, id) - 1)::INTEGER AS relevance_rank
+        FROM scored ORDER BY distance, id LIMIT 1500""",
     "index_status": f"""
         WITH {INDEX}
         SELECT count(*) AS total_indexed, count(score) AS score_count, count(made) AS date_count,

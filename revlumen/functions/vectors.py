@@ -13,9 +13,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-DISTANCE_DIGITS = 6
-# Entries of one distance block held in memory at a time.
+# Cosine distances carry noise of about 1e-15; digits beyond these say nothing.
+COSINE_DIGITS = 12
+# Entries of one distance block, and candidates, held in memory at a time.
 BLOCK_ENTRIES = 2_000_000
+PENDING = 1_000_000
+# Slack of comparisons made with rounding errors; what lies within it is measured again exactly.
+SLACK = 1e-9
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,73 +37,119 @@ def matrix_of(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray
     return values[finite], np.flatnonzero(right)[finite]
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one, whatever their size; zero vectors stay zero."""
+    largest = np.abs(vectors).max(axis=1, initial=0.0)
+    small = vectors / np.where(largest > 0, largest, 1.0)[:, None]
+    length = np.sqrt((small ** 2).sum(axis=1))
+    return small / np.where(length > 0, length, 1.0)[:, None]
+
+
 def distances_to(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Rounded distances, one row per query."""
+    """Distance of each pair of rows; for cosine, both hold unit vectors.
+
+    A pair's distance does not depend on the rows around it, so copies tie.
+    """
+    square = ((vectors - queries) ** 2).sum(axis=1)
     if metric == "l2":
-        squares = ((vectors ** 2).sum(axis=1)[None, :] + (queries ** 2).sum(axis=1)[:, None]
-                   - 2.0 * (queries @ vectors.T))
-        result = np.sqrt(np.maximum(squares, 0.0))
-    else:
-        norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            result = 1.0 - np.where(norms > 0, (queries @ vectors.T) / norms, 0.0)
-    return np.round(result, DISTANCE_DIGITS)
-
-
-def best(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest (distance, id) pairs of one query."""
-    if len(distances) > k:
-        bound = np.partition(distances, k - 1)[k - 1]
-        below = np.flatnonzero(distances < bound)
-        ties = np.flatnonzero(distances == bound)
-        ties = ties[np.argsort(ids[ties], kind="stable")[: k - len(below)]]
-        chosen = np.concatenate([below, ties])
-        ids, distances = ids[chosen], distances[chosen]
-    return ids, distances
+        return np.sqrt(square)
+    nothing = ~(vectors.any(axis=1) & queries.any(axis=1))
+    return np.round(np.where(nothing, 1.0, square / 2), COSINE_DIGITS)
 
 
 class Leaders:
-    """Best k candidates per query over the batches of one task."""
-
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.queries, self.k, self.metric = queries, k, metric
-        self.kept = [(None, None)] * len(queries)
+    """Best k candidates per query over the batches of one task.
+
+    Rows are taken cell by cell, a cell being the rows nearest to one pivot.
+    By the triangle inequality no row of a cell is nearer to a query than the
+    pivot is, less the cell's radius; cells beyond a query's k-th best are
+    left out for it. Distances to the pivots, which are rows too, give the
+    first k-th best if there are k of them.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str, pivots: np.ndarray | None = None):
+        self.k, self.metric = k, metric
+        self.queries = unit(queries) if metric == "cosine" else queries
+        self.pivots = np.zeros((0, queries.shape[1])) if pivots is None else pivots
+        if metric == "cosine":
+            self.pivots = unit(self.pivots)
+        self.to_pivots = self._reach(self.pivots, self.queries)
         self.limits = np.full(len(queries), np.inf)
+        if 0 < k <= len(self.pivots) and (metric == "l2" or self.pivots.any(axis=1).all()):
+            self.limits = np.partition(self.to_pivots, k - 1, axis=1)[:, k - 1] + SLACK
+        self.pending, self.waiting = [], 0
+
+    @staticmethod
+    def _reach(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Euclidean distances up to rounding errors, one row per query."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = (rows ** 2).sum(axis=1)[None, :] + (queries ** 2).sum(axis=1)[:, None] - 2.0 * (queries @ rows.T)
+        # What is too large to square is measured exactly later.
+        return np.sqrt(np.maximum(np.nan_to_num(square, nan=0.0, posinf=0.0, neginf=0.0), 0.0))
+
+    def _slack(self, rows: np.ndarray) -> float:
+        if self.metric == "cosine":
+            # Distances that round alike tie; near 0 their roots differ by up to a millionth.
+            return 2e-6
+        with np.errstate(over="ignore"):
+            return 1e-6 * sum(np.sqrt((m ** 2).sum(axis=1).max(initial=0.0)) for m in (rows, self.queries))
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(self.k, BLOCK_ENTRIES // max(1, len(self.queries)))
-        for start in range(0, len(ids), step):
-            self._add_block(ids[start:start + step], vectors[start:start + step])
-
-    def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = distances_to(vectors, self.queries, self.metric)
-        near = scores <= self.limits[:, None]
-        for q in np.flatnonzero(near.any(axis=1)):
-            own, dist = self.kept[q]
-            new_ids, new_dist = ids[near[q]], scores[q][near[q]]
-            if own is not None:
-                new_ids, new_dist = np.concatenate([own, new_ids]), np.concatenate([dist, new_dist])
-            self.kept[q] = best(new_ids, new_dist, self.k)
-            if len(self.kept[q][0]) == self.k:
-                self.limits[q] = self.kept[q][1].max()
+        rows = unit(vectors) if self.metric == "cosine" else vectors
+        slack = self._slack(rows)
+        if len(self.pivots) and np.isfinite(slack):
+            away = self._reach(rows, self.pivots)
+            cell = np.argmin(away, axis=0)
+            order = np.argsort(cell, kind="stable")
+            found, starts = np.unique(cell[order], return_index=True)
+            for pivot, members in zip(found, np.split(order, starts[1:])):
+                radius = away[pivot, members].max()
+                near = np.flatnonzero(self.to_pivots[:, pivot] - radius <= self.limits + slack)
+                self._add_cell(ids[members], rows[members], near, slack)
+        else:
+            self._add_cell(ids, rows, np.arange(len(self.queries)), slack)
+
+    def _add_cell(self, ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, slack: float) -> None:
+        step = max(1, BLOCK_ENTRIES // max(1, len(asked)))
+        for start in range(0, len(ids) if len(asked) else 0, step):
+            some = rows[start:start + step]
+            reach = self._reach(some, self.queries[asked])
+            if self.metric == "cosine":
+                # Zero vectors have distance 1 to everything.
+                reach[:, ~some.any(axis=1)] = 0.0
+            query, row = np.nonzero(reach <= (self.limits[asked] + slack)[:, None])
+            for low in range(0, len(query), PENDING):
+                q, r = asked[query[low:low + PENDING]], row[low:low + PENDING]
+                exact = np.concatenate([distances_to(some[r[i:i + 16384]], self.queries[q[i:i + 16384]], self.metric)
+                                        for i in range(0, len(q), 16384)])
+                self.pending.append((q, ids[start + r], exact))
+                self.waiting += len(q)
+                if self.waiting > PENDING:
+                    self._settle()
+
+    def _settle(self) -> None:
+        """Keep the k smallest (distance, id) pairs of every query."""
+        if not self.pending:
+            return
+        query, ids, distance = (np.concatenate(parts) for parts in zip(*self.pending))
+        order = np.argsort(ids, kind="stable")
+        order = order[np.lexsort((distance[order], query[order]))]
+        query, ids, distance = query[order], ids[order], distance[order]
+        first = np.searchsorted(query, query, side="left")
+        rank = np.arange(len(query)) - first
+        kept = rank < self.k
+        last = rank == self.k - 1
+        worst = np.sqrt(2 * distance[last]) if self.metric == "cosine" else distance[last]
+        self.limits[query[last]] = np.minimum(self.limits[query[last]], worst + SLACK)
+        self.pending, self.waiting = [(query[kept], ids[kept], distance[kept])], 0
 
     def rows(self):
-        for q, (ids, dist) in enumerate(self.kept):
-            if ids is not None:
-                yield q, ids, dist
+        """Query numbers, ids and distances."""
+        self._settle()
+        return self.pending[0] if self.pending else (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0))
 
 
 def id_values(column) -> np.ndarray:
     if pa.types.is_integer(column.type) and column.null_count == 0:
         return column.to_numpy()
     return np.array(column.to_pylist(), dtype=object)
-
-
-def candidate_columns(leaders: Leaders, query_ids) -> list[list]:
-    """query_id, id and distance of the candidates, as lists."""
-    columns = [[], [], []]
-    for q, ids, dist in leaders.rows():
-        columns[0].extend([query_ids[q]] * len(ids))
-        columns[1].extend(ids.tolist())
-        columns[2].extend(dist.tolist())
-    return columns

@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlumen.functions.timeutil import parse_instant, parse_ts
-from revlumen.operators.nearest import nearest
+from revlumen.operators.nearest import nearest, with_distance
 from revlumen.schema import blank_to_null, optional, require
 
-# Default result size and candidates taken before a date sort.
+# Fixed value: default result size.
 DEFAULT_LIMIT = 5
-DATE_SORT_CANDIDATES = 5000
-# Hits are bounded by the limit or candidate count; up to this many are broadcast.
-MAX_BROADCAST_HITS = 10000
 
 
 @dataclass(frozen=True)
@@ -47,16 +44,31 @@ def metadata_columns(df: DataFrame, stand_ins: bool = True) -> list[Column]:
         author = F.coalesce(blank_to_null(author), optional(df, "title"))
         content = F.coalesce(blank_to_null(content), optional(df, "url"))
     date = F.coalesce(blank_to_null(optional(df, "date")), optional(df, "review_created_at"))
+    # A stored instant is compared as it is, so that bounds on it reach the scan.
+    made = F.col("date_ts") if "date_ts" in df.columns else parse_ts(date)
     return [
         author.alias("author"), content.alias("content"),
         optional(df, "score", "int").alias("score"),
-        date.alias("date"),
+        date.alias("date"), made.alias("_made"),
     ]
 
 
+def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
+    """Store an index by time: ``date_ts`` beside the date, rows sorted by it.
+
+    Row groups then cover short spans of time, so a search between two dates
+    reads few of them.
+    """
+    date = F.coalesce(blank_to_null(optional(index, "date")), optional(index, "review_created_at"))
+    dated = index.withColumn("date_ts", parse_ts(date))
+    # The id spreads rows of one instant.
+    laid = dated.repartitionByRange(*([files] if files else []), "date_ts", F.xxhash64("id")).sortWithinPartitions("date_ts")
+    laid.write.mode("overwrite").parquet(path)
+
+
 def filter_hits(df: DataFrame, options: SearchOptions) -> DataFrame:
     """Score and date bounds; a row without the value fails the bound."""
-    ts = parse_ts(F.col("date"))
+    ts = F.col("_made")
     if options.min_score is not None:
         df = df.where(F.col("score") >= options.min_score)
     if options.max_score is not None:
@@ -68,12 +80,17 @@ def filter_hits(df: DataFrame, options: SearchOptions) -> DataFrame:
     return df
 
 
+def _date_order(options: SearchOptions) -> Column:
+    """Undated rows count as the epoch."""
+    ts = F.coalesce("_made", F.timestamp_seconds(F.lit(0)))
+    return ts.desc() if options.sort_direction == "desc" else ts.asc()
+
+
 def sort_hits(df: DataFrame, options: SearchOptions) -> DataFrame:
     """By relevance, or by date with undated rows at the epoch."""
     if options.sort_by == "relevance":
         return df.orderBy("relevance_rank", "id")
-    ts = F.coalesce(parse_ts(F.col("date")), F.timestamp_seconds(F.lit(0)))
-    return df.orderBy(ts.desc() if options.sort_direction == "desc" else ts.asc(), "relevance_rank", "id")
+    return df.orderBy(_date_order(options), "relevance_rank", "id")
 
 
 def _one_query(df: DataFrame, vector) -> DataFrame:
@@ -82,28 +99,50 @@ def _one_query(df: DataFrame, vector) -> DataFrame:
     return df.sparkSession.createDataFrame([(0, [float(x) for x in vector])], schema)
 
 
+def _dated_hits(rows: DataFrame, vector, options: SearchOptions, metric: str) -> DataFrame:
+    """``id, relevance_rank`` of the first matches by date, ranked among all matches.
+
+    One pass finds the hits, at most ``limit`` rows. A second one counts, for
+    every hit, the matches that are nearer: each row falls between two hits in
+    the order of (distance, id), so it adds one to one of ``limit`` + 1 counts.
+    """
+    measured = with_distance(rows.select("id", "_made", "embedding"), vector, metric)
+    first = measured.orderBy(_date_order(options), "distance", "id").limit(options.limit).select("distance", "id").collect()
+    hits = sorted((r["distance"], r["id"]) for r in first)
+    schema = T.StructType([rows.schema["id"], T.StructField("relevance_rank", T.LongType())])
+    if not hits:
+        return rows.sparkSession.createDataFrame([], schema)
+    edges = F.array(*[F.struct(F.lit(d).alias("distance"), F.lit(i).cast(rows.schema["id"].dataType).alias("id")) for d, i in hits])
+    own = F.struct("distance", "id")
+    nearer_than = measured.select(F.size(F.filter(edges, lambda e: own < e)).alias("n")).groupBy("n").count()
+    counts = {r["n"]: r["count"] for r in nearer_than.collect()}
+    # A row nearer than n hits is nearer than the last n of them.
+    ranks = [(i, sum(c for n, c in counts.items() if n >= len(hits) - at)) for at, (_, i) in enumerate(hits)]
+    return rows.sparkSession.createDataFrame(ranks, schema)
+
+
 def search(index: DataFrame, query_vector, options: SearchOptions = SearchOptions(), metric: str = "cosine",
            candidate_limit: int | None = None) -> DataFrame:
     """Nearest index rows that pass the filters.
 
     Filters run before the ranking in every mode, so no match is lost to a
-    row that does not match, and ranks count matching rows. A date sort takes
-    the nearest ``candidate_limit`` matches and orders them by date.
+    row that does not match, and ranks count matching rows. A date sort orders
+    all matches; with a ``candidate_limit``, the nearest so many.
     """
-    bound = candidate_limit or (DATE_SORT_CANDIDATES if options.sort_by == "date" else options.limit)
     rows = filter_hits(index.select("id", "embedding", *metadata_columns(index)), options)
-    hits = nearest(rows, _one_query(index, query_vector), bound, metric)
-    hits = hits.select("id", "relevance_rank")
-    if bound <= MAX_BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    found = rows.drop("embedding").join(hits, "id")
-    return sort_hits(found, options).limit(options.limit)
+    if options.sort_by == "date" and candidate_limit is None:
+        # At most ``limit`` rows.
+        hits = F.broadcast(_dated_hits(rows, query_vector, options, metric))
+    else:
+        hits = nearest(rows, _one_query(index, query_vector), candidate_limit or options.limit, metric).select("id", "relevance_rank")
+    found = rows.drop("embedding").join(hits, "id").withColumn("relevance_rank", F.col("relevance_rank").cast("int"))
+    return sort_hits(found, options).limit(options.limit).select("id", "author", "content", "score", "date", "relevance_rank")
 
 
 def search_metadata(index: DataFrame, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Search without a query: every row ranks 0, then filters, sort, limit."""
     rows = index.select("id", F.lit(0).alias("relevance_rank"), *metadata_columns(index, stand_ins=False))
-    return sort_hits(filter_hits(rows, options), options).limit(options.limit)
+    return sort_hits(filter_hits(rows, options), options).limit(options.limit).drop("_made")
 
 
 def attach_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from revlumen.operators import nearest as N
+from revlumen.functions import vectors as V
 from revlumen.operators import search as S
 
 SCHEMA = "id bigint, embedding array<float>"
@@ -22,7 +23,7 @@ def brute(vectors, queries, k, metric):
             else:
                 norm = np.linalg.norm(a) * np.linalg.norm(b)
                 d = 1 - (a @ b / norm if norm > 0 else 0.0)
-            scored.append((round(float(d), 4), i))
+            scored.append((round(float(d), 10), i))
         result += [(q, i, r) for r, (_, i) in enumerate(sorted(scored)[:k])]
     return sorted(result)
 
@@ -37,15 +38,52 @@ def data():
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("limit", [N.MAX_SHIPPED_QUERIES, 4])
-def test_nearest_is_exact_on_both_paths(spark, data, metric, limit, monkeypatch):
-    monkeypatch.setattr(N, "QUERIES_PER_CELL", 6)
-    monkeypatch.setattr(N, "ROWS_PER_CELL", 100)
+@pytest.mark.parametrize("entries", [N.QUERY_ENTRIES, 40])
+@pytest.mark.parametrize("k", [7, 100, 1100])
+def test_nearest_is_exact(spark, data, metric, entries, k, monkeypatch):
+    """One block of queries and many, fewer and more neighbours than pivots, window and range ranking."""
+    if entries == 40:
+        monkeypatch.setattr(N, "WINDOW_CUT", 50)
     vectors, queries = data
     got = N.nearest(spark.createDataFrame(vectors, SCHEMA).repartition(5),
-                    spark.createDataFrame(queries, "query_id int, embedding array<float>"), 7, metric,
-                    max_shipped_queries=limit)
-    assert sorted(rows(got, "query_id", "id", "relevance_rank")) == brute(vectors, queries, 7, metric)
+                    spark.createDataFrame(queries, "query_id int, embedding array<float>"), k, metric, query_entries=entries)
+    assert sorted(rows(got, "query_id", "id", "relevance_rank")) == brute(vectors, queries, k, metric)
+
+
+def test_cells_are_left_out_without_loss():
+    """Clustered rows in many batches: few pairs are measured, none is missed."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 50
+    vectors = (centres[rng.integers(0, 20, 6000)] + rng.normal(size=(6000, 16))).astype(np.float64)
+    for metric in N.METRICS:
+        leaders = V.Leaders(vectors[:300], 5, metric, vectors[::97][:64])
+        for start in range(0, 6000, 500):
+            leaders.add(np.arange(start, start + 500), vectors[start:start + 500])
+        query, ids, _ = leaders.rows()
+        own = V.unit(vectors) if metric == "cosine" else vectors
+        for q in range(300):
+            distance = V.distances_to(own, np.broadcast_to(own[q], own.shape), metric)
+            assert ids[query == q].tolist() == np.lexsort((np.arange(6000), distance))[:5].tolist()
+
+
+def test_tiny_and_huge_distances_decide(spark):
+    """Differences far below the sixth digit, and vectors whose squares leave the range of doubles."""
+    near = [(i, [1.0, (9 - i) * 1e-5]) for i in range(9)]
+    ask = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, embedding array<double>")
+    got = N.nearest(spark.createDataFrame(near, "id bigint, embedding array<double>"), ask, 9)
+    assert rows(got.orderBy("relevance_rank"), "id") == [(i,) for i in reversed(range(9))]
+    for size in (1e-39, 1e200):
+        scaled = [(i, [size, size * i]) for i in range(1, 9)]
+        ask = spark.createDataFrame([(0, [size, 0.0])], "query_id int, embedding array<double>")
+        got = N.nearest(spark.createDataFrame(scaled, "id bigint, embedding array<double>"), ask, 8)
+        assert rows(got.orderBy("relevance_rank"), "id") == [(i,) for i in range(1, 9)]
+
+
+def test_vectors_are_not_shuffled(spark, data, capsys):
+    ask = spark.createDataFrame(data[1], "query_id int, embedding array<float>")
+    N.nearest(spark.createDataFrame(data[0], SCHEMA), ask, 3).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" in plan and not any("vector" in line for line in plan.splitlines() if "Exchange" in line)
 
 
 def test_nearest_without_queries(spark, data):
@@ -94,6 +132,31 @@ def test_search_by_date(index):
     assert rows(oldest, "id", "relevance_rank") == [(1, 0), (2, 1)]
 
 
+def test_search_by_date_orders_all_matches(spark):
+    """The newest of many more matches than any bound, each ranked among all of them."""
+    n = 6000
+    index = spark.range(n, numPartitions=7).select(
+        "id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"), F.lit(1).alias("score"),
+        F.date_format(F.timestamp_seconds(F.col("id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
+    got = S.search(index, [1.0, 0.0], S.SearchOptions(sort_by="date", limit=100))
+    assert rows(got, "id", "relevance_rank") == [(i, i) for i in reversed(range(n - 100, n))]
+    kept = S.search(index, [1.0, 0.0], S.SearchOptions(sort_by="date", limit=3, start_date="1970-02-01", min_score=1))
+    assert rows(kept, "id", "relevance_rank") == [(i, i - 31 * 24) for i in (n - 1, n - 2, n - 3)]
+    none = S.search(index, [1.0, 0.0], S.SearchOptions(sort_by="date", min_score=2))
+    assert rows(none) == [] and none.columns == got.columns
+
+
+def test_stored_index_pushes_dates_to_the_scan(spark, index, tmp_path, capsys):
+    path = str(tmp_path / "index")
+    S.write_index(index, path, files=2)
+    stored = spark.read.parquet(path)
+    options = S.SearchOptions(start_date="2026-02-02", end_date="2026-02-02T12:00:00Z", sort_by="date")
+    assert rows(S.search(stored, [1.0, 0.0], options)) == rows(S.search(index, [1.0, 0.0], options)) != []
+    S.search_metadata(stored, options).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(date_ts," in plan and "LessThanOrEqual(date_ts," in plan
+
+
 def test_metadata_only(index):
     got = rows(S.search_metadata(index, S.SearchOptions(sort_by="date", limit=2)), "id", "relevance_rank")
     assert got == [(2, 0), (3, 0)]

@@ -6,6 +6,8 @@ compare them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,10 @@ from revlumen.operators import calls as calls_ops
 from revlumen.operators import change, evaluation, exports, filters, issues, labels, priority, search, themes
 from revlumen.operators import validity
 from revlumen.plans import alerts, analyze, drilldown, weekly
+from revlumen.plans.importing import import_reviews
 from revlumen.session import ensure_checkpoint_dir, prepare
 from revlumen.sources import event_reviews as source
-from revlumen.sources import store
+from revlumen.sources import index_table, readers, store
 from revlumen.streaming import reviews as streaming
 
 REFERENCE_DATE = "2024-01-31"
@@ -51,6 +54,11 @@ def _analyzed(spark, folder) -> DataFrame:
     return analyze.analyze(_reviews(spark, folder))
 
 
+def _fresh_folder(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _documents(spark, folder) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/documents.parquet")
 
@@ -154,6 +162,50 @@ def import_diagnostics_query(spark, folder):
     return validity.import_diagnostics(_checked(spark, folder))
 
 
+def import_reviews_query(spark, folder):
+    """Import, load a part twice, then load everything: each review is there once."""
+    reviews = import_reviews(source.unclean_rows_from_events(_events(spark, folder))).reviews
+    rows = reviews.select("review_id", F.col("seq").cast("bigint").alias("seq"), "score")
+    path = _fresh_folder(spark, "reviews")
+    for _ in range(2):
+        index_table.load_new(rows.where(F.crc32("review_id") % 2 == 0), path, "first")
+    index_table.load_new(rows, path, "second")
+    loaded = index_table.read_index(spark, path)
+    loaded = rows.limit(0) if loaded is None else loaded
+    return loaded.select("review_id", "seq", F.col("score").cast("bigint").alias("score"))
+
+
+def _file_reviews(spark, folder) -> DataFrame:
+    payload = source.store_payload_from_events(_events(spark, folder))
+    return store.normalize_payload(payload, "play_store", F.lit(NOW).cast("timestamp"))
+
+
+def csv_files_query(spark, folder):
+    """Reviews written as CSV files, read back and imported."""
+    path = _fresh_folder(spark, "csv")
+    store.write_reviews_csv(_file_reviews(spark, folder), path)
+    reviews = import_reviews(readers.read_csv_reviews(spark, path, multi_line=False)).reviews
+    return reviews.select(*store.CSV_COLUMNS)
+
+
+def json_files_query(spark, folder):
+    """Reviews written as JSON lines, read back and imported."""
+    path = _fresh_folder(spark, "json")
+    _file_reviews(spark, folder).write.json(path)
+    reviews = import_reviews(readers.read_json_reviews(spark, path, lines=True)).reviews
+    return reviews.select(*store.CSV_COLUMNS)
+
+
+def analytics_contract_query(spark, folder):
+    """Which rows analytics must not accept, over rows with damaged labels."""
+    seq = F.col("seq")
+    rows = classify(_reviews(spark, folder)).withColumns({
+        "severity": F.when(seq % 5 == 1, "P9").when(seq % 5 == 2, None).otherwise(F.col("severity")),
+        "feature_area": F.when(seq % 7 != 3, F.col("feature_area")),
+        "score": F.when(seq % 11 == 4, 6).otherwise(F.col("score"))})
+    return rows.select("review_id", validity.analytics_invalid(rows).alias("invalid"))
+
+
 def incremental_anti_query(spark, folder):
     """Documents without a vector of the same id."""
     new = _documents(spark, folder).select(F.col("doc_id").alias("review_id"), "n_chars")
@@ -220,6 +272,16 @@ def segment_all_query(spark, folder):
     return issues.segment_breakdowns(_analyzed(spark, folder))
 
 
+def segment_report_query(spark, folder):
+    """Segments of critical reviews, and how many were considered."""
+    return issues.segment_report(_analyzed(spark, folder), "app_version", 3, filters.ReviewFilters(severities=["P0", "P1"]))
+
+
+def trend_report_query(spark, folder):
+    report = issues.trend_report(_analyzed(spark, folder), "week")
+    return report.withColumn("top_issue_keys", F.array_join("top_issue_keys", ","))
+
+
 def time_trends_query(bucket):
     def run(spark, folder):
         trends = issues.time_trends(_analyzed(spark, folder), bucket)
@@ -379,6 +441,17 @@ def export_markdown_query(spark, folder):
     return exports.markdown_lines(_analyzed(spark, folder))
 
 
+def golden_labels_query(spark, folder):
+    """Label accuracy and safety recall against golden labels derived from the rows, some of them others."""
+    rows = classify(_reviews(spark, folder))
+    seq = F.col("seq")
+    golden = rows.where(seq % 2 == 0).select(
+        "review_id", F.when(seq % 10 == 0, "Bug").otherwise(F.col("issue_type")).alias("expected_issue_type"),
+        F.when(seq % 8 == 0, "P2").otherwise(F.col("severity")).alias("expected_severity"),
+        F.coalesce((F.col("issue_type") == "Safety Concern") & (F.col("severity") == "P0") | (seq % 50 == 0), F.lit(False)).alias("is_safety"))
+    return evaluation.golden_evaluation(rows, golden)
+
+
 def golden_eval_query(spark, folder):
     docs = _documents(spark, folder)
     predicted = docs.select("doc_id", F.when(is_low_signal(redact_pii(F.col("text"))), 0).otherwise(1).alias("kept"))
@@ -440,13 +513,23 @@ def search_by_date_nearest_query(spark, folder):
 
 def search_by_date_filtered_query(spark, folder):
     """The newest matches of a stored index between two dates, with a minimal score."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{spark.range(1).select(F.uuid()).first()[0]}"
+    path = _fresh_folder(spark, "index")
     raw = _index(spark, folder)
     search.write_index(raw, path)
     options = search.SearchOptions(limit=50, min_score=2, start_date="2024-01-03", end_date="2024-01-20T12:00:00Z", sort_by="date")
     return search.search(spark.read.parquet(path), _query_vector(raw), options, metric="l2")
 
 
+def attach_metadata_query(spark, folder):
+    """Every vector as a hit, joined to a metadata table that holds two of three of them."""
+    index = _index(spark, folder)
+    hits = index.select("id", (F.col("id") % 10).cast("int").alias("relevance_rank"), "title",
+                        F.concat(F.lit("link-"), "id").alias("url"))
+    known = index.where("id % 3 <> 0").select("id", "author", F.when(F.col("id") % 2 == 0, F.col("content")).alias("content"),
+                                              "score", F.lit("").alias("date"), F.col("date").alias("review_created_at"))
+    return search.attach_metadata(hits, known)
+
+
 def search_metadata_query(spark, folder):
     options = search.SearchOptions(limit=50, min_score=3, sort_by="date")
     return search.search_metadata(_index(spark, folder), options)
@@ -499,6 +582,15 @@ def stream_dedupe_query(spark, folder):
     return streaming.drained(unique.select("review_id", "review_ts"), "dedupe").select("review_id")
 
 
+def stream_all_trends_query(bucket):
+    """Every bucket of the stream, open ones too."""
+    def run(spark, folder):
+        path = _fresh_folder(spark, f"all-trends-{bucket}")
+        streaming.upsert_trends(streaming.analyzed_stream(_review_stream(spark, folder)), f"{path}/data", f"{path}/state", bucket)
+        return streaming.current_trends(spark, f"{path}/data")
+    return run
+
+
 def stream_trends_query(bucket):
     def run(spark, folder):
         analyzed = streaming.analyzed_stream(_review_stream(spark, folder))
@@ -579,4 +671,14 @@ QUERIES = {
     "stream_dedupe": stream_dedupe_query,
     "stream_trends_day": stream_trends_query("day"),
     "stream_trends_week": stream_trends_query("week"),
+    "stream_all_trends_day": stream_all_trends_query("day"),
+    "stream_all_trends_week": stream_all_trends_query("week"),
+    "import_reviews": import_reviews_query,
+    "csv_files": csv_files_query,
+    "json_files": json_files_query,
+    "analytics_contract": analytics_contract_query,
+    "segment_report": segment_report_query,
+    "trend_report": trend_report_query,
+    "golden_labels": golden_labels_query,
+    "attach_metadata": attach_metadata_query,
 }

@@ -317,17 +317,29 @@ UNION ALL SELECT section, 1, NULL, '' FROM heads
 UNION ALL SELECT 0, 0, NULL, '*App Reviews Report*'"""
 
 
-def stream_trends(bucket: str, length: str) -> str:
+def stream_trends(bucket: str, length: str | None = None) -> str:
+    closed = f"""HAVING CAST(time_bucket AS TIMESTAMP) + INTERVAL {length}
+                   <= (SELECT max(review_ts) FROM ana) - INTERVAL 1 DAY""" if length else ""
     return analyzed(
         f"""SELECT {bucket} AS time_bucket, count(*) AS total_reviews,
               count(*) FILTER (sentiment = 'Negative') AS negative_count,
               count(*) FILTER (severity = 'P0') AS p0_count, count(*) FILTER (severity = 'P1') AS p1_count,
               count(*) FILTER (severity = 'P2') AS p2_count, count(*) FILTER (severity = 'FYI') AS fyi_count
-            FROM ana GROUP BY 1
-            HAVING CAST(time_bucket AS TIMESTAMP) + INTERVAL {length}
-                   <= (SELECT max(review_ts) FROM ana) - INTERVAL 1 DAY""")
+            FROM ana GROUP BY 1 {closed}""")
 
 
+STORE_ROWS = f"""
+        SELECT 's' || event_id AS review_id, 'play_store' AS platform,
+               CASE WHEN user_id % 3 = 1 THEN 'user' || user_id ELSE 'Anonymous' END AS user_name,
+               {string_list(source.TEMPLATES)}[((event_id * 7 + user_id) % 24 + 1)::INTEGER] || ' second line' AS content,
+               (1 + (event_id * 3 + user_id) % 5)::INTEGER AS score,
+               CASE WHEN user_id % 4 <> 0 THEN '1.' || (user_id % 4) || '.0' ELSE 'Unknown' END AS app_version,
+               'Unknown' AS device, 'Unknown' AS os_version,
+               CASE WHEN event_id % 6 = 5 OR event_id % 7 = 6 THEN '2024-02-01T00:00:00.000Z'
+                    ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) % 1000000) // 1000)::VARCHAR, 3, '0')
+                         || 'Z' END AS review_created_at
+        FROM events"""
+
 ORACLE_SQL = {
     "top_issues": top_issues(),
     "top_issues_window": top_issues(
@@ -369,17 +381,7 @@ ORACLE_SQL = {
                            WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
     "valid_embeddings": """SELECT vec_id, len(embedding) = 64 AS is_valid,
                              vec_id % 4 IN (0, 3) AS damaged_is_valid FROM embeddings""",
-    "store_payload": f"""
-        SELECT 's' || event_id AS review_id, 'play_store' AS platform,
-               CASE WHEN user_id % 3 = 1 THEN 'user' || user_id ELSE 'Anonymous' END AS user_name,
-               {string_list(source.TEMPLATES)}[((event_id * 7 + user_id) % 24 + 1)::INTEGER] || ' second line' AS content,
-               (1 + (event_id * 3 + user_id) % 5)::INTEGER AS score,
-               CASE WHEN user_id % 4 <> 0 THEN '1.' || (user_id % 4) || '.0' ELSE 'Unknown' END AS app_version,
-               'Unknown' AS device, 'Unknown' AS os_version,
-               CASE WHEN event_id % 6 = 5 OR event_id % 7 = 6 THEN '2024-02-01T00:00:00.000Z'
-                    ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) % 1000000) // 1000)::VARCHAR, 3, '0')
-                         || 'Z' END AS review_created_at
-        FROM events""",
+    "store_payload": STORE_ROWS,
     "store_app_id": """
         SELECT event_id AS link_id,
                CASE WHEN event_id % 5 IN (0, 2) THEN 'play_store' WHEN event_id % 5 IN (1, 3) THEN 'app_store' END
@@ -646,4 +648,41 @@ ORACLE_SQL = {
     "stream_dedupe": "SELECT DISTINCT 'g' || (event_id // 4) AS review_id FROM events",
     "stream_trends_day": stream_trends(DAY, "1 DAY"),
     "stream_trends_week": stream_trends(WEEK, "7 DAY"),
+    "stream_all_trends_day": stream_trends(DAY),
+    "stream_all_trends_week": stream_trends(WEEK),
+    "import_reviews": DEDUPED,
+    "csv_files": f"SELECT * FROM ({STORE_ROWS})",
+    "json_files": f"SELECT * FROM ({STORE_ROWS})",
+    "analytics_contract": classified("""
+        SELECT review_id, coalesce(seq % 5 = 1, false) OR seq % 7 = 3 OR seq % 11 = 4 AS invalid FROM cls"""),
+    "segment_report": analyzed("""
+        SELECT 'total' AS section, count(*) AS total_reviews_considered, NULL AS segment_dimension, NULL AS segment_value,
+               NULL AS issue_count, NULL AS p0_p1_count, NULL AS avg_rating FROM picked
+        UNION ALL SELECT 'segment', NULL, * FROM (
+          SELECT 'app_version', app_version, count(*) AS n, count(*), """ + rounded("avg(score)", 2) + """
+          FROM picked GROUP BY app_version ORDER BY n DESC, app_version COLLATE NOCASE LIMIT 3)""",
+        "picked AS (SELECT * FROM ana WHERE severity IN ('P0', 'P1'))"),
+    "trend_report": f"""
+        WITH trends AS ({time_trends(WEEK)})
+        SELECT 'trend' AS section, NULL AS total_reviews_considered, * FROM trends
+        UNION ALL BY NAME SELECT 'total' AS section, sum(total_reviews)::BIGINT AS total_reviews_considered FROM trends""",
+    "golden_labels": classified(f"""
+        , golden AS (
+          SELECT issue_type, severity, CASE WHEN seq % 10 = 0 THEN 'Bug' ELSE issue_type END AS t,
+                 CASE WHEN seq % 8 = 0 THEN 'P2' ELSE severity END AS s,
+                 issue_type = 'Safety Concern' AND severity = 'P0' OR seq % 50 = 0 AS safe
+          FROM cls WHERE seq % 2 = 0),
+        parts AS (
+          SELECT 'issue_type_accuracy' AS metric, count(*) FILTER (issue_type = t) AS matches, count(*) AS total, 0.9 AS gate FROM golden
+          UNION ALL SELECT 'severity_accuracy', count(*) FILTER (severity = s), count(*), 0.9 FROM golden
+          UNION ALL SELECT 'p0_safety_recall', count(*) FILTER (safe AND issue_type = 'Safety Concern' AND severity = 'P0'),
+                           count(*) FILTER (safe), 1.0 FROM golden)
+        SELECT metric, matches, total, {rounded('matches / total', 4)} AS value,
+               {rounded('matches / total', 4)} >= gate AS passes FROM parts"""),
+    "attach_metadata": f"""
+        WITH {INDEX}
+        SELECT id, (id % 10)::INTEGER AS relevance_rank,
+               CASE WHEN id % 3 <> 0 AND id % 9 <> 0 THEN author ELSE 'Review' END AS author,
+               CASE WHEN id % 3 <> 0 AND id % 2 = 0 THEN content ELSE 'link-' || id END AS content,
+               CASE WHEN id % 3 <> 0 THEN score END AS score, CASE WHEN id % 3 <> 0 THEN date END AS date FROM scored""",
 }

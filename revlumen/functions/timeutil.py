@@ -28,6 +28,7 @@ OTHER_DATE_FORMATS = (
     ("MMMM d, yyyy", "%B %d, %Y"),
     ("d MMM yyyy HH:mm:ss z", "%d %b %Y %H:%M:%S %Z"),
 )
+STARTS_WITH_YEAR = "^\\s*[+-]?[0-9]{4}"
 WEEKDAY_PREFIX = "^[A-Za-z]{3}, "
 BUCKET_UNITS = {"day": "DAY", "week": "WEEK"}
 
@@ -35,11 +36,12 @@ BUCKET_UNITS = {"day": "DAY", "week": "WEEK"}
 def parse_ts(value: Column) -> Column:
     """Timestamp of a date string, ISO first; null where it is blank or no date.
 
-    The other spellings are tried only on rows that are not ISO.
+    A date starts with its year or follows another spelling, so a time of day
+    alone is none. The other spellings are tried only on rows that are not ISO.
     """
     bare = F.regexp_replace(value, WEEKDAY_PREFIX, "")
     others = [F.try_to_timestamp(bare, F.lit(pattern)) for pattern, _ in OTHER_DATE_FORMATS]
-    return F.coalesce(F.try_to_timestamp(value), *others)
+    return F.coalesce(F.when(value.rlike(STARTS_WITH_YEAR), F.try_to_timestamp(value)), *others)
 
 
 def time_bucket(ts: Column, unit: str = "day") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revlumen.schema import SENTIMENTS, SEVERITIES, require, with_seq
+from revlumen.schema import SENTIMENTS, SEVERITIES, or_default, require, with_seq
 
 # Wording of the exports.
 TICKET_PROJECT = "APP"
@@ -13,15 +13,20 @@ REPORT_TITLE = "*App Reviews Report*"
 EMPTY_REPORT = "*No reviews to report.*"
 SECTION_TITLES = {1: "P0 Critical Issues", 2: "P1 High Priority", 3: "Other Reports"}
 MAX_LABEL_LENGTH = 100
-MAX_TEXT_ROWS = 5000
+MAX_SIGNAL_LENGTHS = {"summary": 5000, "device": 200, "os_version": 200, "app_version": 200}
+LABELS = ("review_id", "issue_type", "feature_area", "severity", "sentiment")
 TITLE_PART, BLANK_PART, HEADER_PART, ROW_PART = range(4)
 
 
 def is_exportable(df: DataFrame) -> Column:
-    """Whether a row may be exported: labels given and inside the vocabulary."""
+    """Whether a row may be exported: labels given and inside the vocabulary, signals of bounded length."""
     ok = F.coalesce(F.length("review_id") > 0, F.lit(False))
     for name in ("issue_type", "feature_area"):
         ok = ok & F.coalesce(F.length(name).between(1, MAX_LABEL_LENGTH), F.lit(False))
+    known = df.schema["signals"].dataType.names if "signals" in df.columns else []
+    for name, most in MAX_SIGNAL_LENGTHS.items():
+        if name in known:
+            ok = ok & F.coalesce(F.length(F.col("signals")[name]) <= most, F.lit(True))
     return (ok & F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))
             & F.coalesce(F.col("sentiment").isin(*SENTIMENTS), F.lit(False)))
 
@@ -33,7 +38,12 @@ def require_exportable(df: DataFrame) -> DataFrame:
 
 
 def tickets(df: DataFrame) -> DataFrame:
-    """One ticket per row as a nested ``fields`` struct. No shuffle."""
+    """One ticket per row as a nested ``fields`` struct. No shuffle.
+
+    A label that is missing reads ``Unknown``; ``write_tickets`` lets no such
+    row through.
+    """
+    df = df.withColumns({c: or_default(F.col(c), "Unknown") for c in LABELS})
     def line(label: str, value: Column) -> Column:
         return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value, F.lit("\n"))).otherwise("")
 
@@ -57,8 +67,8 @@ def tickets(df: DataFrame) -> DataFrame:
 
 
 def write_tickets(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per ticket and line."""
-    tickets(df).select("fields").write.mode(mode).json(path)
+    """One JSON object per ticket and line; fails before it writes if a row breaks the contract."""
+    tickets(require_exportable(df)).select("fields").write.mode(mode).json(path)
 
 
 def markdown_lines(df: DataFrame) -> DataFrame:
@@ -68,7 +78,7 @@ def markdown_lines(df: DataFrame) -> DataFrame:
     type it is; nothing is numbered or gathered globally. Sort by the first
     three columns to read it.
     """
-    df = with_seq(df)
+    df = with_seq(df).withColumns({c: or_default(F.col(c), "Unknown") for c in LABELS})
     section = F.when(F.col("severity") == "P0", 1).when(F.col("severity") == "P1", 2).otherwise(3)
     urgent = F.concat(F.lit("- *["), "feature_area", F.lit("]* "), "issue_type", F.lit(" (ID: "),
                       "review_id", F.lit(")"))
@@ -92,13 +102,17 @@ def markdown_lines(df: DataFrame) -> DataFrame:
 
 
 def write_markdown(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The report as text part files in reading order."""
-    markdown_lines(df).orderBy("section", "part", "seq").select("line").write.mode(mode).text(path)
+    """The report as text part files in reading order; fails before it writes if a row breaks the contract."""
+    lines = markdown_lines(require_exportable(df))
+    lines.orderBy("section", "part", "seq").select("line").write.mode(mode).text(path)
 
 
-def markdown_text(df: DataFrame, max_rows: int = MAX_TEXT_ROWS) -> str:
-    """The report as one string, for frames of a bounded number of rows."""
-    require(df.limit(max_rows + 1).count() <= max_rows,
-            f"more than {max_rows} rows; use write_markdown")
-    lines = markdown_lines(df).orderBy("section", "part", "seq").collect()
-    return "\n".join(row["line"] for row in lines)
+def markdown_text(df: DataFrame, max_rows: int | None = None) -> str:
+    """The report as one string, for a frame that fits the driver.
+
+    Lines arrive part by part in reading order. ``max_rows`` makes a larger
+    frame an error.
+    """
+    if max_rows is not None:
+        require(df.limit(max_rows + 1).count() <= max_rows, f"more than {max_rows} rows; use write_markdown")
+    return "\n".join(row["line"] for row in markdown_lines(df).orderBy("section", "part", "seq").toLocalIterator())

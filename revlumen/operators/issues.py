@@ -165,6 +165,32 @@ def segment_breakdowns(df: DataFrame, limit: int = 10, filters: ReviewFilters |
             .where(F.col("_rn") <= max(1, limit)).drop("_rn"))
 
 
+def segment_report(df: DataFrame, dimension: str, limit: int = 10, filters: ReviewFilters | None = None) -> DataFrame:
+    """``segment_breakdown`` with the number of reviews considered as its first row.
+
+    ``section`` is ``total`` or ``segment``. The total counts every review that
+    passes the filters, those of segments beyond ``limit`` too, and is there
+    with 0 when none does. Both parts read one small aggregate.
+    """
+    rows = filter_reviews(df, filters)
+    segments = _segment_aggregate(rows.select(
+        F.lit(dimension).alias("segment_dimension"), segment_value(rows, dimension).alias("segment_value"),
+        optional(rows, "severity").alias("severity"), optional(rows, "score", "int").alias("score")))
+    total = segments.agg(F.coalesce(F.sum("issue_count"), F.lit(0)).alias("total_reviews_considered"))
+    leading = segments.orderBy(*segment_order()).limit(max(1, limit))
+    return total.select(F.lit("total").alias("section"), "total_reviews_considered").unionByName(
+        leading.withColumn("section", F.lit("segment")), allowMissingColumns=True)
+
+
+def trend_report(df: DataFrame, bucket: str = "week", top_issue_limit: int = 3,
+                 filters: ReviewFilters | None = None) -> DataFrame:
+    """``time_trends`` with the number of dated reviews considered as its first row; see ``segment_report``."""
+    trends = time_trends(df, bucket, top_issue_limit, filters)
+    total = trends.agg(F.coalesce(F.sum("total_reviews"), F.lit(0)).alias("total_reviews_considered"))
+    return total.select(F.lit("total").alias("section"), "total_reviews_considered").unionByName(
+        trends.withColumn("section", F.lit("trend")), allowMissingColumns=True)
+
+
 def bucket_issue_counts(df: DataFrame, bucket: str) -> DataFrame:
     """Counts per (time bucket, cluster); rows without a valid date drop out."""
     rows = df.select(

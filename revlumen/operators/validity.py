@@ -11,7 +11,7 @@ from revlumen.functions.timeutil import parse_ts
 from revlumen.schema import (
     OPTIONAL_TEXT_FIELDS, PLATFORMS, SENTIMENTS, SEVERITIES, blank_to_null, require,
 )
-from revlumen.session import checkpointed
+from revlumen.session import written
 
 # Field <- alias, and the integer prefix of a numeric string.
 ALIASES = {"review_id": "id", "review_created_at": "date", "user_name": "author"}
@@ -20,8 +20,6 @@ REQUIRED = {"review_id": "string", "content": "string", "score": "bigint"}
 LEADING_INTEGER = r"^\s*([+-]?\d+)"
 EMBEDDING_TOKENS_PER_REVIEW = 55
 EMBEDDING_USD_PER_MILLION_TOKENS = 0.02
-# Repeated keys that may be broadcast: a million short ids take some 100 MB.
-MAX_REPEATED_KEYS = 1_000_000
 
 
 def leading_integer(value: Column) -> Column:
@@ -133,22 +131,18 @@ def keep_first(df: DataFrame, key: str = "review_id", order: str = "seq") -> Dat
     return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
-def keep_first_by_lookup(df: DataFrame, key: str = "review_id", order: str = "seq",
-                         max_repeated: int = MAX_REPEATED_KEYS) -> DataFrame:
-    """``keep_first`` for inputs in which few keys repeat.
+def keep_first_by_lookup(df: DataFrame, key: str = "review_id", order: str = "seq") -> DataFrame:
+    """``keep_first`` that decides on (key, order) pairs alone.
 
-    Only (key, order) pairs are shuffled, to find the repeated keys; the rows
-    themselves are then filtered in place against that broadcast list. Reads
-    the input twice and runs the first read at once. Beyond ``max_repeated``
-    repeated keys it falls back to ``keep_first``. Keys must not be null.
+    The pairs to drop are found on two narrow columns and written once; the
+    rows then leave out those pairs. Spark knows the size of the written list
+    and ships it to the rows where it is small. A pair is unique, so no key is
+    hot in that join. Reads the input twice. Keys must not be null.
     """
-    counted = df.groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
-    repeated = checkpointed(counted.where("_n > 1").select(key, "_first"))
-    if repeated.limit(max_repeated + 1).count() > max_repeated:
-        return keep_first(df, key, order)
-    joined = df.join(F.broadcast(repeated), key, "left")
-    first = F.col("_first").isNull() | (F.col(order) == F.col("_first"))
-    return joined.where(first).select(*df.columns)
+    pairs = df.select(key, order)
+    repeated = pairs.groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    dropped = written(pairs.join(repeated, key).where(F.col(order) != F.col("_first")).select(key, order), "repeated")
+    return df.join(dropped, [key, order], "left_anti").select(*df.columns)
 
 
 def to_raw_reviews(df: DataFrame) -> DataFrame:
@@ -219,8 +213,13 @@ def not_yet_indexed(new: DataFrame, existing: DataFrame, key: str = "review_id")
 
 
 def append_new(new: DataFrame, index_path: str, key: str = "review_id") -> None:
-    """Append the rows that a Parquet index table does not hold yet; the first load finds none."""
+    """Append the rows that a Parquet index table does not hold yet; the first load finds none.
+
+    One row per key is added. Loads that may be repeated, or that may fail
+    half-way, belong in an ``index_table``.
+    """
     spark = new.sparkSession
+    new = new.dropDuplicates([key])
     folder = spark._jvm.org.apache.hadoop.fs.Path(index_path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         new.write.parquet(index_path)

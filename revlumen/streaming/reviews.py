@@ -70,6 +70,42 @@ def trend_stream(analyzed: DataFrame, bucket: str = "day", delay: str = "1 day")
     return counts.select(F.to_date("window.start").cast("string").alias("time_bucket"), *counts.columns[1:])
 
 
+def upsert_trends(analyzed: DataFrame, path: str, checkpoint: str, bucket: str = "day", delay: str = "1 day") -> None:
+    """Keep a table of trends that holds open buckets too; runs over everything that is available, then stops.
+
+    Every micro-batch writes the new totals of the buckets it changed into a
+    folder of its own, named by the batch. A batch that is repeated after a
+    failure replaces its folder, so nothing counts twice; the state of the
+    stream adds what arrives in later batches or later runs.
+    """
+    def save(totals: DataFrame, batch: int) -> None:
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = (trend_stream(analyzed, bucket, delay).writeStream.foreachBatch(save)
+             .option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def current_trends(spark: SparkSession, path: str) -> DataFrame:
+    """The latest totals of every bucket of an ``upsert_trends`` table."""
+    rows = spark.read.parquet(path)
+    counts = [c for c in rows.columns if c not in ("time_bucket", "batch")]
+    latest = rows.groupBy("time_bucket").agg(F.max_by(F.struct(*counts), "batch").alias("_now"))
+    return latest.select("time_bucket", "_now.*")
+
+
+def compact_trends(spark: SparkSession, path: str, target: str) -> None:
+    """Write the latest totals as one small table that replaces the folders of many batches.
+
+    The highest batch number stays, so the target can be read with
+    ``current_trends`` and a stream may go on writing beside it.
+    """
+    rows = spark.read.parquet(path)
+    counts = [c for c in rows.columns if c != "time_bucket"]
+    latest = rows.groupBy("time_bucket").agg(F.max_by(F.struct(*counts), "batch").alias("_now"))
+    latest.select("time_bucket", "_now.*").coalesce(1).write.partitionBy("batch").parquet(target)
+
+
 def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over everything that is available, then stop."""
     query = (stream.writeStream.format("parquet").option("path", path)

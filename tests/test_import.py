@@ -7,6 +7,8 @@ from conftest import rows
 from revlumen.operators import validity as V
 from revlumen.plans.importing import import_reviews, index_rows
 from revlumen.sources import readers, store
+from revlumen.functions.timeutil import parse_ts
+from revlumen.sources import index_table
 
 CSV = '''review_id,content,score,thumbs_up_count,platform
 a,"He said ""no""
@@ -110,7 +112,6 @@ def test_dedupe_equals_distinct_ids_on_any_partitioning(spark):
     one, many = (sorted(rows(V.keep_first(df.repartition(n)))) for n in (1, 8))
     assert one == many and len(one) == df.select("review_id").distinct().count()
     assert sorted(rows(V.keep_first_by_lookup(df))) == one
-    assert sorted(rows(V.keep_first_by_lookup(df, max_repeated=2))) == one
 
 
 def test_lookup_dedupe_does_not_shuffle_rows(spark, tmp_path):
@@ -188,3 +189,57 @@ def test_store_links(spark):
     assert got[0] == ("play_store", "com.example.app", None)
     assert got[1] == ("app_store", "1234567890", None)
     assert [g[1] for g in got[2:]] == [None] * 3 and all(g[2] for g in got[2:])
+
+
+def test_index_table_loads_can_be_repeated(spark, tmp_path):
+    path, schema = str(tmp_path / "index"), "review_id string, v int, place int"
+    assert index_table.read_index(spark, path) is None
+    first = spark.createDataFrame([("a", 1, 2), ("a", 9, 1), ("b", 2, 0), (None, 3, 0)], schema)
+    for _ in range(2):
+        index_table.load_new(first, path, "day-1", order="place")
+    held = index_table.read_index(spark, path)
+    assert sorted(rows(held, "review_id", "v")) == [("a", 9), ("b", 2)]
+    more = spark.createDataFrame([("b", 5, 0), ("c", 6, 0), ("c", 7, 1)], schema)
+    for _ in range(2):
+        index_table.load_new(more, path, "day-2", order="place")
+    # Nothing new: the load is there, and empty.
+    index_table.load_new(first, path, "day-3", order="place")
+    assert sorted(rows(index_table.read_index(spark, path), "review_id", "v", "load")) == [
+        ("a", 9, "day-1"), ("b", 2, "day-1"), ("c", 6, "day-2")]
+    with pytest.raises(ValueError):
+        index_table.load_new(more, path, "../day")
+
+
+def test_index_table_ignores_what_a_crashed_load_left(spark, tmp_path):
+    path, schema = str(tmp_path / "index"), "review_id string, v int"
+    index_table.load_new(spark.createDataFrame([("a", 1)], schema), path, "one")
+    index_table.load_new(spark.createDataFrame([("b", 2)], schema), path, "two")
+    (tmp_path / "index" / "load=two" / "_SUCCESS").unlink()
+    assert rows(index_table.read_index(spark, path), "review_id") == [("a",)]
+    index_table.load_new(spark.createDataFrame([("a", 5), ("b", 3)], schema), path, "two")
+    assert sorted(rows(index_table.read_index(spark, path), "review_id", "v")) == [("a", 1), ("b", 3)]
+
+
+def test_append_adds_one_row_per_id(spark, tmp_path):
+    path = str(tmp_path / "twice")
+    twice = spark.createDataFrame([("a", 1), ("a", 1)], "review_id string, v int")
+    V.append_new(twice, path)
+    V.append_new(twice, path)
+    assert rows(spark.read.parquet(path)) == [("a", 1)]
+
+
+def test_lookup_dedupe_shuffles_no_texts(spark, capsys):
+    df = spark.range(3000).selectExpr("concat('r', id % 2900) AS review_id", "repeat('text', 50) AS content", "id AS seq")
+    kept = V.keep_first_by_lookup(df)
+    assert sorted(rows(kept, "review_id", "seq")) == sorted(rows(V.keep_first(df), "review_id", "seq"))
+    kept.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("value, there", [
+    ("12:30", False), ("T12:30:00", False), ("12:30:45.1234", False), ("2026", True), (" 2026-02-01", True),
+    ("2026-02-01T10:00:00Z", True), ("Feb 1, 2026", True), ("soon", False), ("", False)])
+def test_a_date_names_its_year(spark, value, there):
+    got = spark.createDataFrame([(value,)], "d string").select(parse_ts(F.col("d"))).first()[0]
+    assert (got is not None) == there

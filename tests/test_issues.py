@@ -284,3 +284,13 @@ def test_running_mean_rounded_per_step_agrees_on_small_sets(six):
                                 (acc["n"] + 1).alias("n")))["mean"].alias("mean"))
     plain = six.groupBy("issue_type").agg(issues.average_rating(F.col("score")).alias("mean"))
     assert sorted(rows(folded)) == sorted(rows(plain))
+
+
+def test_reports_count_what_they_consider(six):
+    got = rows(issues.segment_report(six, "app_version", limit=1), "section", "total_reviews_considered", "segment_value", "issue_count")
+    assert got[0] == ("total", 6, None, None) and got[1:] == [("segment", None, "1.0.0", 2)]
+    none = ReviewFilters(severities=["P0"], sentiments=["Positive"])
+    assert rows(issues.segment_report(six, "app_version", filters=none), "section", "total_reviews_considered") == [("total", 0)]
+    trends = rows(issues.trend_report(six, "week"), "section", "total_reviews_considered", "total_reviews")
+    assert trends[0] == ("total", 6, None) and sum(t[2] for t in trends[1:]) == 6
+    assert rows(issues.trend_report(six, "day", filters=none), "section", "total_reviews_considered") == [("total", 0)]

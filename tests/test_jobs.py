@@ -293,3 +293,16 @@ def test_results_do_not_depend_on_partitions(spark):
     base = analyze.analyze(source.reviews_from_events(source.read_events(spark, SMALL)))
     one, many = (rows(top_issues(base.repartition(n))) for n in (1, 8))
     assert one == many
+
+
+def test_exports_hold_the_contract(spark, tmp_path):
+    good = export_rows(spark)
+    bad = good.withColumn("severity", F.when(F.col("review_id") == good.first()["review_id"], "P7").otherwise(F.col("severity")))
+    for number, write in enumerate((exports.write_tickets, exports.write_markdown)):
+        with pytest.raises(ValueError):
+            write(bad, str(tmp_path / f"bad-{number}"))
+        assert not (tmp_path / f"bad-{number}").exists()
+        write(good, str(tmp_path / f"good-{number}"))
+    unlabelled = good.withColumn("feature_area", F.lit(None).cast("string"))
+    assert all("Unknown" in r[0] for r in exports.tickets(unlabelled).select("fields.summary").collect())
+    assert all(r["line"] is not None for r in exports.markdown_lines(unlabelled).collect())

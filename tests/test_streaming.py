@@ -57,3 +57,31 @@ def test_valid_stream(spark, tmp_path):
     stream = streaming.valid_stream(streaming.read_review_stream(spark, str(tmp_path / "raw"), raw.schema))
     got = streaming.drained(stream, "test-valid")
     assert rows(got, "review_id", "score") == [("a", 5)] and "review_ts" in got.columns
+
+
+def test_upserted_trends_hold_open_buckets(spark, tmp_path):
+    batch = reviews(spark)
+    for bucket in ("day", "week"):
+        path = str(tmp_path / f"all-{bucket}")
+        stream = streaming.analyzed_stream(arrivals(spark, tmp_path, batch, f"all-in-{bucket}"))
+        streaming.upsert_trends(stream, f"{path}/data", f"{path}/state", bucket)
+        trends = time_trends(analyze(batch), bucket)
+        columns = ("time_bucket", "total_reviews", "p0_count", "p1_count", "p2_count", "fyi_count")
+        expected = sorted(rows(trends, *columns))
+        assert sorted(rows(streaming.current_trends(spark, f"{path}/data"), *columns)) == expected
+        streaming.compact_trends(spark, f"{path}/data", f"{path}/compact")
+        assert sorted(rows(streaming.current_trends(spark, f"{path}/compact"), *columns)) == expected
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """The last batch runs again when its commit is lost, and later arrivals add to what is there."""
+    path, batch = str(tmp_path / "again"), reviews(spark)
+    stream = streaming.analyzed_stream(arrivals(spark, tmp_path, batch, "again-in"))
+    streaming.upsert_trends(stream, f"{path}/data", f"{path}/state", "day")
+    before = sorted(rows(streaming.current_trends(spark, f"{path}/data")))
+    commits = sorted((f for f in (tmp_path / "again" / "state" / "commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    for file in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        file.unlink(missing_ok=True)
+    again = streaming.analyzed_stream(streaming.read_review_stream(spark, str(tmp_path / "again-in"), batch.schema, files_per_trigger=1))
+    streaming.upsert_trends(again, f"{path}/data", f"{path}/state", "day")
+    assert sorted(rows(streaming.current_trends(spark, f"{path}/data"))) == before

@@ -12,8 +12,10 @@ all tasks for a query.
 
 Nearness is the inner product in double precision of the original vectors; ties go to the smaller id. Vectors
 that are null, zero, hold a null or non-finite component, or differ in length from the commonest length take no
-part. Repeated rows are candidates each on their own, and a query skips rows of its own id. Queries with no
-candidates give no rows.
+part; of any other size they do, as long as their inner products stay within the range of doubles. Repeated rows
+are candidates each on their own, and a query skips rows of its own id. A row without an id is a candidate too: it
+comes out with a null id, last among ties, and asks nothing. Queries with no candidates give no rows, an empty
+table gives none, and columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -96,38 +98,44 @@ class _Best:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
-        self.norms = np.linalg.norm(queries, axis=1)
-        self.turned = (queries @ turn.T).astype(np.float32)
+        largest = np.abs(queries).max(axis=1)
+        self.norms = np.linalg.norm(queries / largest[:, None], axis=1) * largest
+        # Of unit queries, so that sizes of vectors stay out of the short floats.
+        self.turned = (queries / self.norms[:, None] @ turn.T).astype(np.float32)
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.zeros((len(ids), k), np.int64)
+        self.unnamed = np.zeros((len(ids), k), bool)
 
-    def add(self, ids, values, codes, correction, spread) -> None:
+    def add(self, ids, unnamed, values, codes, correction, spread) -> None:
+        """``unnamed`` marks rows without an id, whatever ``ids`` holds there."""
         signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
         for first in range(0, len(self.ids), QUERY_STEP):
             some = slice(first, first + QUERY_STEP)
-            estimate = (self.turned[some] @ signs.T) * correction.astype(np.float32)
-            slack = CERTAINTY * self.norms[some, None].astype(np.float32) * spread.astype(np.float32) + 1e-5 * np.abs(estimate)
+            estimate = (self.turned[some] @ signs.T) * correction
+            slack = CERTAINTY * spread + 1e-5 * np.abs(estimate)
             lower = estimate - slack
             # k + 1: the query's own row may be among them.
             if lower.shape[1] > self.k + 1:
                 bar = -np.partition(-lower, self.k, axis=1)[:, self.k]
             else:
-                bar = np.full(len(lower), -np.inf, np.float32)
-            bar = np.maximum(bar, self.scores[some, -1].astype(np.float32) - 1e-5 * np.abs(self.scores[some, -1]).astype(np.float32)
-                             if np.isfinite(self.scores[some, -1]).all() else bar)
+                bar = np.full(len(lower), -np.inf)
+            last = self.scores[some, -1] / self.norms[some]
+            bar = np.maximum(bar, last - 1e-5 * np.abs(last), out=bar, where=np.isfinite(last))
             wanted = estimate + slack >= bar[:, None]
             for q in np.flatnonzero(wanted.any(axis=1)):
                 at = np.flatnonzero(wanted[q])
-                at = at[ids[at] != self.ids[first + q]]
+                at = at[unnamed[at] | (ids[at] != self.ids[first + q])]
                 # Sums in one order for every pair, so that equal vectors get equal scores wherever they lie.
-                self._merge(first + q, ids[at], np.einsum("ij,j->i", values[at], self.queries[first + q]))
+                self._merge(first + q, ids[at], unnamed[at], np.einsum("ij,j->i", values[at], self.queries[first + q]))
 
-    def _merge(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+    def _merge(self, q: int, ids: np.ndarray, unnamed: np.ndarray, scores: np.ndarray) -> None:
         held = np.isfinite(self.scores[q])
         ids, scores = np.concatenate([self.found[q][held], ids]), np.concatenate([self.scores[q][held], scores])
-        order = np.lexsort((ids, -scores))[:self.k]
-        self.scores[q], self.found[q] = -np.inf, 0
-        self.scores[q, :len(order)], self.found[q, :len(order)] = scores[order], ids[order]
+        unnamed = np.concatenate([self.unnamed[q][held], unnamed])
+        order = np.lexsort((ids, unnamed, -scores))[:self.k]
+        self.scores[q], self.found[q], self.unnamed[q] = -np.inf, 0, False
+        n = len(order)
+        self.scores[q, :n], self.found[q, :n], self.unnamed[q, :n] = scores[order], ids[order], unnamed[order]
 
 
 def _pass_over(index: DataFrame, block: list, dimensions: int, bits: int, seed: int, k: int) -> DataFrame:
@@ -141,18 +149,19 @@ def _pass_over(index: DataFrame, block: list, dimensions: int, bits: int, seed:
                 part = batch.slice(start, ROW_BLOCK)
                 values = np.asarray(part.column("embedding").flatten()).reshape(len(part), dimensions)
                 codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(part), -1)
-                best.add(np.asarray(part.column("vec_id")), values, codes, np.asarray(part.column("correction")),
-                         np.asarray(part.column("spread")))
+                ids = part.column("vec_id")
+                best.add(np.asarray(ids.cast(pa.int64()).fill_null(0)), np.asarray(ids.is_null()), values, codes,
+                         np.asarray(part.column("correction")), np.asarray(part.column("spread")))
         at, place = np.nonzero(np.isfinite(best.scores))
         task = np.full(len(at), TaskContext.get().partitionId(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(best.ids[at]), pa.array(best.found[at, place]), pa.array(best.scores[at, place]),
+        yield pa.RecordBatch.from_arrays([pa.array(best.ids[at]), pa.array(best.found[at, place], mask=best.unnamed[at, place]), pa.array(best.scores[at, place]),
                                           pa.array(task)], names=["query_id", "vec_id", "score", "task"])
 
     return index.mapInArrow(search, "query_id bigint, vec_id bigint, score double, task int")
 
 
 def _leading(found: DataFrame, keys: list[str], k: int) -> DataFrame:
-    order = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
+    order = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return found.withColumn("rank", order).where(F.col("rank") <= k)
 
 

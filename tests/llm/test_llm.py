@@ -191,6 +191,33 @@ def test_mixing(spark):
     assert mixing.mixed(documents).count() == sum(r["taken"] // r["size"] for r in rows if r["size"])
 
 
+@pytest.mark.parametrize("size", [1e-100, 1e-39, 1.0, 1e39, 1e100])
+def test_neighbours_of_any_size(spark, size):
+    """Sizes beyond short floats, mixed sizes, rows without an id (last among ties), repeated rows."""
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(260, 24)) * size * np.where(rng.random(260) < 0.5, 1.0, 1e-3)[:, None]
+    vectors[7] = vectors[9]
+    data = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(None, vectors[9].tolist()), (None, (vectors[0] * 2).tolist()), (11, vectors[11].tolist())]
+    got = neighbours.embeddings_query(spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3)).collect()
+    for q in range(0, 260, 20):
+        scores = [(-float(np.einsum("ij,j->i", np.array([v]), vectors[q])[0]), i is None, i or 0, i) for i, v in data if i != q]
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert own == [(n, x[3]) for n, x in enumerate(sorted(scores)[:20], 1)]
+
+
+def test_neighbours_recall(spark):
+    """Recall of the bounds against brute force, on clustered vectors of mixed lengths."""
+    rng = np.random.default_rng(14)
+    vectors = rng.normal(size=(40, 64))[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 64))
+    vectors *= rng.choice([0.5, 1.0, 3.0], 6000)[:, None]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.embeddings_query(data).collect()}
+    scores = vectors[::20] @ vectors.T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = {(q * 20, int(i)) for q, row in enumerate(np.argpartition(-scores, 20, axis=1)[:, :20]) for i in row}
+    assert len(got) == 6000 and len(got & want) >= 0.99 * len(want)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(300, 16)).astype(np.float32).tolist()

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlumen.llm.common import staged
 
-PIVOT_ROUNDS = 2
+# Rounds at most, and pivots that a member asks in each.
+PIVOT_ROUNDS, PIVOTS = 5, 2
+# Components whose labels are shipped, at most.
+MANY = 10_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -43,54 +47,94 @@ def connected(edges: DataFrame) -> DataFrame:
     return tree.select(F.col("child").alias("node"), F.col("parent").alias("component")).union(roots)
 
 
+def crowded_members(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose bucket holds more than one."""
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
+    return staged(members.join(crowded, "bucket", "left_semi"), "members")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Buckets that hold members of more than one component."""
+    return labelled.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(
+        "_low != _high").select("bucket")
+
+
+def _pivot_pairs(labelled: DataFrame, may_link: Callable[[Column, Column], Column], turn: int, pivots: int) -> DataFrame:
+    """Pairs of members and pivots of their buckets: the ``pivots`` that a member meets in most buckets.
+
+    The pivot of a bucket belongs to the component with most members there, so that few others have to ask.
+    """
+    some = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "about")
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(some).alias("some"))
+    chosen = parts.groupBy("bucket").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), F.xxhash64("component", F.lit(turn)).alias("r"), "component", "some")).alias("_p"))
+    asked = chosen.join(_mixed(labelled), "bucket", "left_semi").select(
+        "bucket", F.col("_p.some.node").alias("_node"), F.col("_p.some.about").alias("_about"),
+        F.col("_p.component").alias("_component"))
+    met = labelled.join(asked, "bucket").where(
+        (F.col("component") != F.col("_component")) & may_link(F.col("about"), F.col("_about")))
+    # A member has as many rows here as it has buckets, at most.
+    best = W.partitionBy("node").orderBy(F.desc("_shared"), F.xxhash64("_node", F.lit(turn)), "_node")
+    few = met.groupBy("node", "_node").agg(F.count("*").alias("_shared")).withColumn(
+        "_rank", F.row_number().over(best)).where(F.col("_rank") <= pivots)
+    return few.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
 def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column],
-                 rounds: int = PIVOT_ROUNDS, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 rounds: int = PIVOT_ROUNDS, pivots: int = PIVOTS, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components ``node, component`` of all pairs that share a bucket and pass ``verify``.
 
-    ``members`` holds ``bucket, node, about``, unique by bucket and node; ``may_link(about, about)`` is a cheap
-    necessary test. ``verify`` takes pairs ``a, b`` and returns those that are links.
+    ``members`` are ``crowded_members`` of ``bucket, node, about``, unique by bucket and node; ``may_link(about,
+    about)`` is a cheap necessary test. ``verify`` takes pairs ``a, b`` and returns those that are links.
 
-    In each round every bucket checks its members against one pivot. Members that are connected by then need no
-    check against each other, so a group of copies costs a row per member. At last the pairs that share a bucket
-    but no component are checked, all of them, so nothing that shares a bucket and passes ``verify`` is lost.
-    ``narrow`` may replace that last list by a shorter one without loss: it takes ``node, component`` of the
-    members concerned and returns pairs ``a, b`` that hold every link between two components.
+    In each round a member is checked against a few pivots of its buckets, and what is connected by then needs no
+    check against each other: a group of copies costs some rows per member. The rounds end with one that finds no
+    link. At last the pairs that share a bucket but no component are checked, all of them, so nothing that shares
+    a bucket and passes ``verify`` is lost. ``narrow`` may replace that last list by a shorter one without loss: it
+    takes ``node, component`` of the members concerned and returns pairs ``a, b`` that hold every link between two
+    components.
     """
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    members = staged(members.join(crowded, "bucket", "left_semi"), "members")
     labelled = members.withColumn("component", F.col("node"))
-    tested, links = None, None
-    for turn in range(rounds + 1):
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(
-            "_low != _high").select("bucket")
-        if turn < rounds:
-            # Of each component one member is asked to be the pivot; which one differs by round.
-            rank = F.struct(F.xxhash64("component", F.lit(turn)).alias("r"), F.xxhash64("node", F.lit(turn)).alias("s"), "node",
-                            "about", "component")
-            pivots = labelled.groupBy("bucket").agg(F.min(rank).alias("_p")).join(split, "bucket", "left_semi").select(
-                "bucket", F.col("_p.node").alias("_node"), F.col("_p.about").alias("_about"),
-                F.col("_p.component").alias("_component"))
-            met = labelled.join(pivots, "bucket").where(
-                (F.col("component") != F.col("_component")) & may_link(F.col("about"), F.col("_about")))
-            pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        elif narrow is not None:
-            pairs = narrow(staged(labelled.join(split, "bucket", "left_semi").select("node", "component").distinct(), "mixed"))
-        else:
-            mixed = labelled.join(split, "bucket", "left_semi")
-            other = mixed.select("bucket", F.col("node").alias("_node"), F.col("about").alias("_about"),
-                                 F.col("component").alias("_component"))
-            met = mixed.join(other, "bucket").where(
-                (F.col("component") < F.col("_component")) & may_link(F.col("about"), F.col("_about")))
-            pairs = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
+    tested, components = None, None
+
+    def untested(pairs):
+        return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+    def with_links(links):
+        return staged(connected(links if components is None else links.union(
+            components.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+
+    for turn in range(rounds):
+        pairs = untested(_pivot_pairs(labelled, may_link, turn, pivots))
         found = staged(verify(pairs), "links")
-        links = found if links is None else links.union(found)
-        if turn == rounds:
+        tested = pairs if tested is None else tested.union(pairs)
+        if found.isEmpty():
             break
-        components = staged(connected(links), "components")
+        components = with_links(found)
         labelled = staged(members.join(components, "node", "left").select(
             *members.columns, F.coalesce("component", "node").alias("component")), "labelled")
-        tested = pairs if tested is None else tested.union(pairs)
-    return staged(connected(links), "components")
+    mixed = labelled.join(_mixed(labelled), "bucket", "left_semi")
+    if narrow is not None:
+        rest = narrow(staged(mixed.select("node", "component").distinct(), "mixed"))
+    else:
+        other = mixed.select("bucket", F.col("node").alias("_node"), F.col("about").alias("_about"),
+                             F.col("component").alias("_component"))
+        met = mixed.join(other, "bucket").where(
+            (F.col("component") < F.col("_component")) & may_link(F.col("about"), F.col("_about")))
+        rest = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    return with_links(staged(verify(untested(rest)), "links"))
+
+
+def labels_of(components: DataFrame, firsts: DataFrame, first: str) -> DataFrame:
+    """``node`` and the least ``first`` of its component; ``firsts`` holds ``node`` and ``first``.
+
+    Components with more than a ``MANY``-th part of the nodes are fewer than ``MANY``: their labels are shipped, so
+    a large component is not gathered.
+    """
+    total = components.count()
+    least = staged(components.join(firsts, "node").groupBy("component").agg(
+        F.min(first).alias(first), F.count("*").alias("_n")), "least")
+    large = F.broadcast(least.where(F.col("_n") * MANY > total).drop("_n"))
+    small = least.where(F.col("_n") * MANY <= total).drop("_n")
+    return components.join(large, "component").select("node", first).union(
+        components.join(large, "component", "left_anti").join(small, "component").select("node", first))

@@ -8,8 +8,9 @@ pairs that share a bucket are confirmed by the exact Jaccard similarity of the f
 With 32 bands of 6 coordinates a pair at similarity 0.85 shares no bucket with a chance of about 3 in 10^7.
 
 Equal texts are one node; components of nodes are found without gathering a group anywhere. Null, empty and
-blank texts have an empty set and link with nothing. Shorter texts than a shingle are one shingle. Repeated
-rows get the same component. Null ids take part; a component of null ids only has a null id.
+blank texts have an empty set and link with nothing. Shorter texts than a shingle are one shingle, very long ones
+are taken whole. Repeated rows get the same component. Null ids take part; a component of null ids only has a null
+id. An empty table gives no rows. Other columns than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlumen.llm.common import staged
-from revlumen.llm.components import link_members
+from revlumen.llm.components import crowded_members, labels_of, link_members
 
 SHINGLE = 3
 PERCENT = 85
@@ -108,63 +109,46 @@ def _sign(batches, size: int):
             names=["doc_id", "node", "n_shingles", "bands"])
 
 
-def _confirm(batches, size: int, percent: int):
-    hashes, cached = _Words(), {}
-
-    def of(node, text):
-        if node not in cached:
-            if len(cached) >= 8:
-                cached.clear()
-            cached[node] = shingle_hashes(text, hashes, size)
-        return cached[node]
-
-    for batch in batches:
-        keep = []
-        for a, b, left, right in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-            x, y = of(a, left), of(b, right)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
-        kept = batch.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
-
-
-def _explode(batches, size: int):
+def _sets(batches, size: int):
     hashes = _Words()
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            sets = [shingle_hashes(t, hashes, size) for t in part.column("text").to_pylist()]
-            counts = np.array([len(x) for x in sets], np.int64)
-            at = pa.array(np.repeat(np.arange(len(sets)), counts))
-            yield pa.RecordBatch.from_arrays([
-                part.column("node").take(at), part.column("component").take(at),
-                pa.array(np.repeat(counts, counts).astype(np.int32)),
-                pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+            sets = [shingle_hashes(t, hashes, size).view(np.int64) for t in part.column("text").to_pylist()]
+            ends = pa.array(np.cumsum([0] + [len(x) for x in sets]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["node", "shingles"])
 
 
-def prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of ``node, component, text`` that hold every link between two components.
+def prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``mixed`` (``node, component``) that hold every link between two components.
 
-    Sets that are similar enough share one of their rarest shingles: of n shingles, at least ``percent`` per cent
-    must be shared, so the n - that + 1 rarest cannot all be missed. Shingles of one text only come first and
-    pair with nothing, so a text that differs from a large group by words of its own costs few pairs.
+    Sets that are similar enough share one of their first shingles in any common order: of n shingles, at least
+    ``percent`` per cent must be shared, so the n - that + 1 first cannot all be missed. Shingles of one component
+    come first and pair with nothing, then the rare ones. Where two sets meet first, what follows in both must
+    still make up the shared shingles that the similarity asks for.
     """
-    narrow = texts.select(F.xxhash64("node").alias("node"), F.xxhash64("component").alias("component"), "text")
-    shingles = staged(narrow.mapInArrow(lambda b: _explode(b, size), "node bigint, component bigint, n int, shingle bigint"), "shingles")
-    shared = shingles.groupBy("shingle").agg(F.count("*").alias("found")).where("found > 1")
-    own = W.partitionBy("node")
-    rare = shingles.join(shared, "shingle").withColumn("_shared", F.count("*").over(own)).withColumn(
-        "_rank", F.row_number().over(own.orderBy("found", "shingle")))
-    first = staged(rare.where(F.col("_rank") + F.col("n") - F.col("_shared") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(
-        "node", "component", "n", "shingle"), "prefixes")
-    other = first.select(F.col("node").alias("_node"), F.col("component").alias("_component"), F.col("n").alias("_n"), "shingle")
+    numbered = staged(mixed.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    parts = numbered.groupBy("component").agg(F.min("id").alias("part"))
+    shingles = staged(numbered.join(parts, "component").join(sets, "node").select(
+        "id", "part", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    shared = shingles.groupBy("shingle").agg(
+        F.count("*").alias("found"), F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low != _high").select(
+        "shingle", "found")
+    own = W.partitionBy("id")
+    placed = shingles.join(shared, "shingle").withColumn(
+        "place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("found", "shingle")))
+    first = staged(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(
+        "id", "part", "n", "place", "shingle"), "prefixes")
+    other = first.select(*[F.col(c).alias(f"_{c}") for c in ("id", "part", "n", "place")], "shingle")
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
     met = first.join(other, "shingle").where(
-        (F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component"))
-        & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")))
-    pairs = met.select("node", "_node").distinct()
-    name = texts.select(F.xxhash64("node").alias("_id"), F.col("node").alias("_name"))
-    for column, out in (("node", "x"), ("_node", "y")):
-        pairs = pairs.join(name.withColumnsRenamed({"_id": column, "_name": out}), column)
+        (F.col("id") < F.col("_id")) & (F.col("part") != F.col("_part"))
+        & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
+        & (left * (100 + percent) >= percent * (F.col("n") + F.col("_n"))))
+    pairs = met.select("id", "_id").distinct()
+    for column, name in (("id", "x"), ("_id", "y")):
+        pairs = pairs.join(numbered.select(F.col("id").alias(column), F.col("node").alias(name)), column)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -173,47 +157,46 @@ def _nodes(documents: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document ``doc_id, node, n_shingles, component_id``.
+    """Per document ``doc_id, node, n_shingles, component_id, stays``.
 
     Links have at least ``percent`` per cent Jaccard similarity of their sets of ``size``-word shingles;
-    ``component_id`` is the smallest id that links reach. ``node`` is the digest of the text.
+    ``component_id`` is the smallest id that links reach. ``node`` is the digest of the text; ``stays`` marks the
+    rows of one id and text per component.
     """
     id_type = documents.schema["doc_id"].dataType.simpleString()
     rows = staged(_nodes(documents).mapInArrow(
         lambda batches: _sign(batches, size), f"doc_id {id_type}, node binary, n_shingles bigint, bands array<bigint>"), "signatures")
+    # Ids before no id.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     nodes = staged(rows.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("about"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select(F.explode("bands").alias("bucket"), "node", "about")
+        F.min(place).alias("first"), F.first("n_shingles").alias("about"), F.first("bands").alias("bands")), "nodes")
+    members = crowded_members(nodes.select(F.explode("bands").alias("bucket"), "node", "about"))
 
     def may_link(left, right):
         return 100 * F.least(left, right) >= percent * F.greatest(left, right)
 
-    def texts_of(asked):
-        holders = nodes.select("node", "doc_id").join(asked, "node", "left_semi").select(
-            F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
-        # By node and id, so that the copies of a text do not meet in one task.
-        held = _nodes(documents).join(
-            holders, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["node", "doc_id"])
-        return staged(held.select("node", "text"), "candidate-texts")
-
-    def narrow(mixed):
-        return prefix_pairs(texts_of(mixed).join(mixed, "node"), size, percent)
+    # Full sets of the texts that share a bucket, made once; a row of a repeated text each.
+    holders = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+        F.col("node").alias("_node"), F.col("first.doc_id").alias("_doc"))
+    held = _nodes(documents).join(
+        holders, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["node", "doc_id"])
+    sets = staged(held.select("node", "text").mapInArrow(
+        lambda batches: _sets(batches, size), "node binary, shingles array<bigint>"), "sets")
 
     def verify(pairs):
-        held = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        both = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-            held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(
-            lambda batches: _confirm(batches, size, percent), "a binary, b binary")
-
-    components = link_members(members, verify, may_link, narrow=narrow)
-    least = components.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = components.join(least, "component").select("node", "component_id")
-    alone = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
+        common = F.size(F.array_intersect("_a", "_b"))
+        return both.where(common * (100 + percent) >= percent * (F.size("_a") + F.size("_b"))).select("a", "b")
+
+    components = link_members(members, verify, may_link, narrow=lambda mixed: prefix_pairs(mixed, sets, percent))
+    linked = labels_of(components, nodes.select("node", F.col("first").alias("least")), "least")
+    labels = staged(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("least")), "labels")
     # Empty texts are no nodes: each is its own component.
-    return rows.join(staged(alone, "labels"), "node", "left").select(
-        "doc_id", "node", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
-            F.col("component_id")).alias("component_id"))
+    empty = F.col("n_shingles") == 0
+    return rows.join(labels, "node", "left").select(
+        "doc_id", "node", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        (empty | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node")))).alias("stays"))
 
 
 def documents_query(documents: DataFrame) -> DataFrame:
@@ -222,8 +205,8 @@ def documents_query(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with all its columns; a repeated row stays once."""
-    found = near_duplicates(documents, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+    """One document of each component, with all its columns; a repeated row or id stays once."""
+    found = near_duplicates(documents, size, percent).where("stays").select(
         F.col("doc_id").alias("_doc"), F.col("node").alias("_kept")).distinct()
     marked = documents.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     kept = marked.join(found, (F.col("_node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")

@@ -447,3 +447,29 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         extra = mixing.fit(lengths, n, round(target) - passes * sizes[source]) if passes < 3 else 0 * n
         assert [got[source, int(x)] for x in lengths] == (passes * n + extra).tolist()
         assert all(passes <= times[d] <= passes + 1 for d, (s, _) in about.items() if s == source)
+
+
+def test_minhash_links_equal_all_pairs(spark):
+    """Groups around a base, with texts near and below the bar: components of all pairs, and no link is missed."""
+    rng = np.random.default_rng(77)
+    texts = []
+    for size, rate in ((60, 0.03), (60, 0.05), (200, 0.02), (200, 0.035), (400, 0.03), (30, 0.06)):
+        base = words(rng, size).split()
+        texts += [" ".join(w if rng.random() > rate else words(rng, 1) for w in base) for _ in range(40)]
+    hashes = minhash._Words()
+    sets = [set(minhash.shingle_hashes(t, hashes).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    assert 20 < len(set(label)) < 220
+    rows = {r["doc_id"]: r["component_id"] for r in minhash.documents_query(docs_of(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == label
+
+
+def test_minhash_keeps_one_of_repeated_ids(spark):
+    base = words(np.random.default_rng(9), 100)
+    docs = spark.createDataFrame([(1, base), (1, base + " end"), (2, base), (None, base), (3, "other words only"), (1, base)],
+                                 "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == [1, 3]

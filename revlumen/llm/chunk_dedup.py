@@ -132,13 +132,17 @@ def repeated_chunks(chunks: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
 
     ``run`` numbers the passages of a document; ``late`` chunks have an earlier occurrence. Digests are counted
     before rows meet, so a passage that very many documents share is no hot group there; the join back can be split.
+    The chunks found are gathered once by document, as a set that map tasks combine: rows that repeat a document
+    add nothing, and a set holds no more than the chunks of one text.
     """
     place = F.struct("doc_id", "text_hash", "start")
     counted = chunks.groupBy("digest").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1")
     met = chunks.join(counted.select("digest", "_first"), "digest").select(
         *KEY, "start", "size", "octets", F.col("_first.doc_id").alias("first_doc"),
         (~(F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("text_hash") == F.col("_first.text_hash"))
-           & (F.col("start") == F.col("_first.start")))).alias("late")).distinct()
+           & (F.col("start") == F.col("_first.start")))).alias("late"))
+    met = met.groupBy(*KEY).agg(F.collect_set(F.struct("start", "size", "octets", "first_doc", "late")).alias("_chunks")).select(
+        *KEY, F.inline("_chunks"))
     in_text = W.partitionBy(*KEY).orderBy("start")
     breaks = F.coalesce(F.lag(F.col("start") + F.col("size")).over(in_text) != F.col("start"), F.lit(True)).cast("int")
     numbered = met.withColumn("_break", breaks).withColumn("run", F.sum("_break").over(in_text.rowsBetween(W.unboundedPreceding, 0)))

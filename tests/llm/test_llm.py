@@ -262,6 +262,58 @@ def test_chunks_resist_insertions(spark):
     assert sum(alone, []) == chunker.chunks([t.encode() for t in texts[n:n + 4]])[4].tolist()
 
 
+def plain_chunks(text, gear):
+    """Chunks of one text, byte by byte."""
+    data = text.encode()
+    places = [c for c in range(chunk_dedup.WINDOW, len(data))
+              if sum(int(gear[data[c - 1 - k]]) << k for k in range(chunk_dedup.WINDOW)) % 65536 < chunk_dedup.BAR
+              and data[c] & 0xC0 != 0x80]
+    ends = [c for at, c in enumerate(places) if not at or c - places[at - 1] >= chunk_dedup.LEAST_CHUNK] + [len(data)]
+    chunks, start = [], 0
+    for end in ends if data else []:
+        while start < end:
+            cut = end if end - start <= chunk_dedup.MOST_CHUNK else start + chunk_dedup.MOST_CHUNK
+            while cut < end and data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            chunks.append((len(data[:start].decode()), data[start:cut]))
+            start = cut
+    return chunks
+
+
+def test_chunks_against_plain_python(spark):
+    rng = np.random.default_rng(29)
+    passage, other = words(rng, 70, 10_000), "é".join(words(rng, 60, 10_000).split())
+    texts = [*ODD, words(rng, 90, 10_000) + passage, passage, "é" + passage + words(rng, 40, 10_000) + other, other, "b" * 3000,
+             words(rng, 100, 10_000), words(rng, 5000, 10_000) + passage]
+    listed = [(i, t) for i, t in enumerate(texts)] + [(len(ODD), texts[len(ODD)])] * 3 + [(None, passage), (2, other + " end")]
+    gear = chunk_dedup.Chunker().gear
+    cut = [(i, t, *chunk) for i, t in listed for chunk in plain_chunks(t or "", gear)]
+    times, firsts = {}, {}
+    for i, t, start, octets in cut:
+        times[octets] = times.get(octets, 0) + 1
+        firsts[octets] = min(firsts.get(octets, (np.inf,)), (-1 if i is None else i, start))
+    expected = []
+    for i, t in dict.fromkeys(listed):
+        runs = []
+        for start, octets in plain_chunks(t or "", gear):
+            if times[octets] > 1:
+                if not runs or runs[-1][-1][1] != start:
+                    runs.append([])
+                first = firsts[octets]
+                runs[-1].append((start, start + len(octets.decode()), len(octets), first[0], first != (-1 if i is None else i, start)))
+        runs = [r for r in runs if sum(c[2] for c in r) >= chunk_dedup.LEAST_RUN]
+        if runs:
+            flat = [c for r in runs for c in r]
+            expected.append((i, len(runs), sum(c[1] - c[0] for c in flat), sum(c[1] - c[0] for c in flat if c[4]),
+                             ",".join(f"{r[0][0]}:{r[-1][1]}" for r in runs), sorted({c[3] for c in flat} - {-1})))
+    schema = "doc_id bigint, text string, start string, size int, run int"
+    documents = spark.createDataFrame([(i, t, "x", 0, 0) for i, t in listed], schema)
+    got = [(r["doc_id"], r["n_passages"], r["repeated_chars"], r["removed_chars"], r["passages"], r["first_doc_ids"])
+           for r in chunk_dedup.documents_query(documents).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert len(got) >= 6
+
+
 def test_phrases(spark):
     rng = np.random.default_rng(12)
     item = words(rng, 25)

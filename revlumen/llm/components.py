@@ -5,79 +5,89 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlumen.llm.common import staged
 
 # Rounds at most, and pivots that a member asks in each.
 PIVOT_ROUNDS, PIVOTS = 5, 2
+# A round that finds fewer new links than this part of the known ones is the last.
+FEW = 10
 # Components whose labels are shipped, at most.
 MANY = 10_000
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first())
+def _settled(tree: DataFrame) -> bool:
+    """Whether every child has one parent and no parent is a child."""
+    ends = tree.select(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        tree.select("parent", F.lit(0), F.lit(1)))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not each.agg(F.count_if(F.expr("up + down > 1 and up > 0"))).first()[0]
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """``node, component``: the least node that edges ``a, b`` reach, for every node of an edge.
+def _stars(edges: DataFrame) -> DataFrame:
+    """``child, parent``: the least node that edges ``a, b`` reach, for every other node of an edge.
 
-    Alternates two star steps until nothing moves: every node hands its larger, then its smaller neighbours to
+    Alternates two star steps until all is stars: every node hands its larger, then its smaller neighbours to
     its least neighbour. Hubs are never gathered: the least neighbour is a combining aggregate, and handing over
     is a join that can be split. The number of rounds grows with the logarithm of a component's diameter.
     """
     tree = staged(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).distinct(), "edges")
-    mark = _mark(tree)
-    while mark[0]:
+    while not _settled(tree):
         both = tree.select(F.col("child").alias("u"), F.col("parent").alias("v")).union(tree.select("parent", "child"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(
-            F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
-        large = staged(large, "large-star")
+        large = staged(both.join(least, "u").where(F.col("v") > F.col("u")).select(
+            F.col("v").alias("child"), F.col("m").alias("parent")), "large-star")
         least = large.groupBy("child").agg(F.min("parent").alias("m"))
         down = large.join(least, "child").where(F.col("parent") != F.col("m")).select(
             F.col("parent").alias("child"), F.col("m").alias("parent"))
         tree = staged(down.union(least.select("child", F.col("m").alias("parent"))).distinct(), "small-star")
-        before, mark = mark, _mark(tree)
-        if before == mark:
-            break
+    return tree
+
+
+def _with_roots(tree: DataFrame) -> DataFrame:
     roots = tree.select(F.col("parent").alias("node"), F.col("parent").alias("component")).distinct()
     return tree.select(F.col("child").alias("node"), F.col("parent").alias("component")).union(roots)
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """``node, component``: the least node that edges ``a, b`` reach, for every node of an edge."""
+    return _with_roots(_stars(edges))
+
+
 def crowded_members(members: DataFrame) -> DataFrame:
     """The rows of ``members`` whose bucket holds more than one."""
     crowded = members.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     return staged(members.join(crowded, "bucket", "left_semi"), "members")
 
 
-def _mixed(labelled: DataFrame) -> DataFrame:
-    """Buckets that hold members of more than one component."""
-    return labelled.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(
-        "_low != _high").select("bucket")
-
-
 def _pivot_pairs(labelled: DataFrame, may_link: Callable[[Column, Column], Column], turn: int, pivots: int) -> DataFrame:
     """Pairs of members and pivots of their buckets: the ``pivots`` that a member meets in most buckets.
 
-    The pivot of a bucket belongs to the component with most members there, so that few others have to ask.
+    The pivot of a bucket belongs to the component with most members there, so that few others have to ask. Pairs
+    of two members that chose each other come twice.
     """
-    some = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "about")
-    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(some).alias("some"))
+    some = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "about").alias("some")
+    if turn:
+        parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(some).alias("some"))
+    else:
+        # Every member is its own component.
+        parts = labelled.select("bucket", "component", F.lit(1).alias("n"), some)
     chosen = parts.groupBy("bucket").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), F.xxhash64("component", F.lit(turn)).alias("r"), "component", "some")).alias("_p"))
-    asked = chosen.join(_mixed(labelled), "bucket", "left_semi").select(
+        F.min(F.struct((-F.col("n")).alias("n"), F.xxhash64("component", F.lit(turn)).alias("r"), "component", "some")).alias("_p"),
+        F.min("component").alias("_low"), F.max("component").alias("_high"))
+    asked = chosen.where("_low != _high").select(
         "bucket", F.col("_p.some.node").alias("_node"), F.col("_p.some.about").alias("_about"),
         F.col("_p.component").alias("_component"))
     met = labelled.join(asked, "bucket").where(
         (F.col("component") != F.col("_component")) & may_link(F.col("about"), F.col("_about")))
     # A member has as many rows here as it has buckets, at most.
-    best = W.partitionBy("node").orderBy(F.desc("_shared"), F.xxhash64("_node", F.lit(turn)), "_node")
-    few = met.groupBy("node", "_node").agg(F.count("*").alias("_shared")).withColumn(
-        "_rank", F.row_number().over(best)).where(F.col("_rank") <= pivots)
-    return few.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+    own = met.groupBy("node").agg(F.collect_list("_node").alias("_all"))
+    ranked = F.array_sort(F.transform(F.array_distinct("_all"), lambda x: F.struct(
+        (-F.size(F.filter("_all", lambda y: y == x))).alias("n"), F.xxhash64(x, F.lit(turn)).alias("r"), x.alias("pivot"))))
+    few = own.select("node", F.inline(F.slice(ranked, 1, pivots)))
+    return few.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
 def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column],
@@ -88,32 +98,27 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     about)`` is a cheap necessary test. ``verify`` takes pairs ``a, b`` and returns those that are links.
 
     In each round a member is checked against a few pivots of its buckets, and what is connected by then needs no
-    check against each other: a group of copies costs some rows per member. The rounds end with one that finds no
-    link. At last the pairs that share a bucket but no component are checked, all of them, so nothing that shares
-    a bucket and passes ``verify`` is lost. ``narrow`` may replace that last list by a shorter one without loss: it
-    takes ``node, component`` of the members concerned and returns pairs ``a, b`` that hold every link between two
-    components.
+    check against each other: a group of copies costs some rows per member. The rounds end with one that finds few
+    links; a pair may be checked again in a later one. At last the pairs that share a bucket but no component are
+    checked, all of them, so nothing that shares a bucket and passes ``verify`` is lost. ``narrow`` may replace that
+    last list by a shorter one without loss: it takes ``node, component`` of the members concerned and returns pairs
+    ``a, b`` that hold every link between two components.
     """
     labelled = members.withColumn("component", F.col("node"))
-    tested, components = None, None
-
-    def untested(pairs):
-        return staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-
-    def with_links(links):
-        return staged(connected(links if components is None else links.union(
-            components.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
-
+    links, tree = None, None
     for turn in range(rounds):
-        pairs = untested(_pivot_pairs(labelled, may_link, turn, pivots))
-        found = staged(verify(pairs), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if found.isEmpty():
+        found = staged(verify(_pivot_pairs(labelled, may_link, turn, pivots)), "links")
+        known = 0 if tree is None else tree.count()
+        links = found if tree is None else found.union(tree.select(F.col("child").alias("a"), F.col("parent").alias("b")))
+        if found.count() * FEW <= known:
             break
-        components = with_links(found)
-        labelled = staged(members.join(components, "node", "left").select(
-            *members.columns, F.coalesce("component", "node").alias("component")), "labelled")
-    mixed = labelled.join(_mixed(labelled), "bucket", "left_semi")
+        tree = _stars(links)
+        links = tree.select(F.col("child").alias("a"), F.col("parent").alias("b"))
+        labelled = staged(members.join(tree, F.col("node") == F.col("child"), "left").select(
+            *members.columns, F.coalesce("parent", "node").alias("component")), "labelled")
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(
+        "_low != _high").select("bucket")
+    mixed = labelled.join(several, "bucket", "left_semi")
     if narrow is not None:
         rest = narrow(staged(mixed.select("node", "component").distinct(), "mixed"))
     else:
@@ -122,7 +127,7 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
         met = mixed.join(other, "bucket").where(
             (F.col("component") < F.col("_component")) & may_link(F.col("about"), F.col("_about")))
         rest = met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-    return with_links(staged(verify(untested(rest)), "links"))
+    return _with_roots(_stars(links.union(verify(rest))))
 
 
 def labels_of(components: DataFrame, firsts: DataFrame, first: str) -> DataFrame:

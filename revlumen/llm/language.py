@@ -225,10 +225,10 @@ class Scorer:
         return names, certain
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``; only the text is looked at."""
-    documents = documents.drop("lang_pred", "score")
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(documents: DataFrame, model: Model, language: str = "lang_pred", certainty: str = "score") -> DataFrame:
+    """``documents`` with the columns ``language`` and ``certainty``; only the text is looked at."""
+    documents = documents.drop(language, certainty)
+    schema = T.StructType([*documents.schema.fields, T.StructField(language, T.StringType()), T.StructField(certainty, T.DoubleType())])
     arrow = to_arrow_schema(schema)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -263,5 +263,5 @@ def documents_query(documents: DataFrame, vocabulary: str | None = None) -> Data
 
 def identified(documents: DataFrame, vocabulary: str | None = None, least: float = 0.5) -> DataFrame:
     """The documents whose language is recognised with a score of ``least`` or more, with all their columns."""
-    found = predict(documents, learned_from(documents, vocabulary))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*documents.columns)
+    found = predict(documents, learned_from(documents, vocabulary), "_language", "_certainty")
+    return found.where((F.col("_language") != UNKNOWN) & (F.col("_certainty") >= least)).select(*documents.columns)

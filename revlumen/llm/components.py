@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlumen.llm.common import staged
@@ -83,15 +84,15 @@ def _pivot_pairs(labelled: DataFrame, may_link: Callable[[Column, Column], Colum
     met = labelled.join(asked, "bucket").where(
         (F.col("component") != F.col("_component")) & may_link(F.col("about"), F.col("_about")))
     # A member has as many rows here as it has buckets, at most.
-    own = met.groupBy("node").agg(F.collect_list("_node").alias("_all"))
-    ranked = F.array_sort(F.transform(F.array_distinct("_all"), lambda x: F.struct(
-        (-F.size(F.filter("_all", lambda y: y == x))).alias("n"), F.xxhash64(x, F.lit(turn)).alias("r"), x.alias("pivot"))))
-    few = own.select("node", F.inline(F.slice(ranked, 1, pivots)))
-    return few.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    best = W.partitionBy("node").orderBy(F.desc("_shared"), F.xxhash64("_node", F.lit(turn)), "_node")
+    few = met.groupBy("node", "_node").agg(F.count("*").alias("_shared")).withColumn(
+        "_rank", F.row_number().over(best)).where(F.col("_rank") <= pivots)
+    return few.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
 
 
 def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], may_link: Callable[[Column, Column], Column],
-                 rounds: int = PIVOT_ROUNDS, pivots: int = PIVOTS, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 rounds: int = PIVOT_ROUNDS, pivots: int = PIVOTS, narrow: Callable[[DataFrame], DataFrame] | None = None,
+                 narrow_pairs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components ``node, component`` of all pairs that share a bucket and pass ``verify``.
 
     ``members`` are ``crowded_members`` of ``bucket, node, about``, unique by bucket and node; ``may_link(about,
@@ -100,27 +101,35 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
     In each round a member is checked against a few pivots of its buckets, and what is connected by then needs no
     check against each other: a group of copies costs some rows per member. The rounds end with one that finds few
     links; a pair may be checked again in a later one. At last the pairs that share a bucket but no component are
-    checked, all of them, so nothing that shares a bucket and passes ``verify`` is lost. ``narrow`` may replace that
-    last list by a shorter one without loss: it takes ``node, component`` of the members concerned and returns pairs
-    ``a, b`` that hold every link between two components.
+    checked, all of them, so nothing that shares a bucket and passes ``verify`` is lost.
+
+    ``narrow`` may replace the buckets before that by finer ones without loss: it takes ``node, component`` of the
+    members concerned and returns members, with ``component``, whose new buckets hold every link between two
+    components. They go through rounds of their own, and ``narrow_pairs`` makes the last list of pairs from them.
     """
-    labelled = members.withColumn("component", F.col("node"))
     links, tree = None, None
-    for turn in range(rounds):
-        found = staged(verify(_pivot_pairs(labelled, may_link, turn, pivots)), "links")
-        known = 0 if tree is None else tree.count()
-        links = found if tree is None else found.union(tree.select(F.col("child").alias("a"), F.col("parent").alias("b")))
-        if found.count() * FEW <= known:
-            break
-        tree = _stars(links)
-        links = tree.select(F.col("child").alias("a"), F.col("parent").alias("b"))
-        labelled = staged(members.join(tree, F.col("node") == F.col("child"), "left").select(
-            *members.columns, F.coalesce("parent", "node").alias("component")), "labelled")
+
+    def joined(members, labelled, first):
+        nonlocal links, tree
+        for turn in range(first, first + rounds):
+            found = staged(verify(_pivot_pairs(labelled, may_link, turn, pivots)), "links")
+            known = 0 if tree is None else tree.count()
+            links = found if links is None else links.union(found)
+            if found.count() * FEW <= known:
+                break
+            tree = _stars(links)
+            links = tree.select(F.col("child").alias("a"), F.col("parent").alias("b"))
+            labelled = staged(members.join(tree, F.col("node") == F.col("child"), "left").select(
+                *members.columns, F.coalesce("parent", "node").alias("component")), "labelled")
+        return labelled
+
+    labelled = joined(members, members.withColumn("component", F.col("node")), 0)
     several = labelled.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where(
         "_low != _high").select("bucket")
     mixed = labelled.join(several, "bucket", "left_semi")
     if narrow is not None:
-        rest = narrow(staged(mixed.select("node", "component").distinct(), "mixed"))
+        finer = narrow(staged(mixed.select("node", "component").distinct(), "mixed"))
+        rest = narrow_pairs(joined(finer.drop("component"), finer, rounds))
     else:
         other = mixed.select("bucket", F.col("node").alias("_node"), F.col("about").alias("_about"),
                              F.col("component").alias("_component"))

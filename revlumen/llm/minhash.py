@@ -120,13 +120,12 @@ def _sets(batches, size: int):
                 [part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["node", "shingles"])
 
 
-def prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of ``mixed`` (``node, component``) that hold every link between two components.
+def prefixes(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members ``bucket, node, component, about, place`` of ``mixed`` (``node, component``) by shingles of their prefixes.
 
     Sets that are similar enough share one of their first shingles in any common order: of n shingles, at least
     ``percent`` per cent must be shared, so the n - that + 1 first cannot all be missed. Shingles of one component
-    come first and pair with nothing, then the rare ones. Where two sets meet first, what follows in both must
-    still make up the shared shingles that the similarity asks for.
+    come first and are left out, as they pair with nothing, then the rare ones.
     """
     numbered = staged(mixed.withColumn("id", F.monotonically_increasing_id()), "numbered")
     parts = numbered.groupBy("component").agg(F.min("id").alias("part"))
@@ -138,18 +137,23 @@ def prefix_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = W.partitionBy("id")
     placed = shingles.join(shared, "shingle").withColumn(
         "place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("found", "shingle")))
-    first = staged(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(
-        "id", "part", "n", "place", "shingle"), "prefixes")
-    other = first.select(*[F.col(c).alias(f"_{c}") for c in ("id", "part", "n", "place")], "shingle")
-    left = 1 + F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
-    met = first.join(other, "shingle").where(
-        (F.col("id") < F.col("_id")) & (F.col("part") != F.col("_part"))
-        & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
-        & (left * (100 + percent) >= percent * (F.col("n") + F.col("_n"))))
-    pairs = met.select("id", "_id").distinct()
-    for column, name in (("id", "x"), ("_id", "y")):
-        pairs = pairs.join(numbered.select(F.col("id").alias(column), F.col("node").alias(name)), column)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return staged(first.join(numbered, "id").select(
+        F.col("shingle").alias("bucket"), "node", "component", F.col("n").alias("about"), "place"), "prefixes")
+
+
+def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of ``prefixes`` that hold every link between two components.
+
+    Where two sets meet first, what follows in both must still make up the shared shingles that the similarity asks for.
+    """
+    other = members.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "about", "place")])
+    left = 1 + F.least(F.col("about") - F.col("place"), F.col("_about") - F.col("_place"))
+    return members.join(other, "bucket").where(
+        (F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component"))
+        & (100 * F.least("about", "_about") >= percent * F.greatest("about", "_about"))
+        & (left * (100 + percent) >= percent * (F.col("about") + F.col("_about")))).select(
+        F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
 
 
 def _nodes(documents: DataFrame) -> DataFrame:
@@ -189,7 +193,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
         common = F.size(F.array_intersect("_a", "_b"))
         return both.where(common * (100 + percent) >= percent * (F.size("_a") + F.size("_b"))).select("a", "b")
 
-    components = link_members(members, verify, may_link, narrow=lambda mixed: prefix_pairs(mixed, sets, percent))
+    components = link_members(members, verify, may_link, narrow=lambda mixed: prefixes(mixed, sets, percent),
+                              narrow_pairs=lambda finer: prefix_pairs(finer, percent))
     linked = labels_of(components, nodes.select("node", F.col("first").alias("least")), "least")
     labels = staged(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("least")), "labels")
     # Empty texts are no nodes: each is its own component.

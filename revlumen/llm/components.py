@@ -115,7 +115,8 @@ def link_members(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
             found = staged(verify(_pivot_pairs(labelled, may_link, turn, pivots)), "links")
             known = 0 if tree is None else tree.count()
             links = found if links is None else links.union(found)
-            if found.count() * FEW <= known:
+            # Before the last list over finer buckets, every round that finds a link counts.
+            if found.count() <= (0 if first else known // FEW):
                 break
             tree = _stars(links)
             links = tree.select(F.col("child").alias("a"), F.col("parent").alias("b"))

@@ -18,12 +18,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from revlumen.llm.common import staged
-from revlumen.llm.components import crowded_members, labels_of, link_members
+from revlumen.llm.components import crowded_members, labels_of, link_members, turned
 
 SHINGLE = 3
 PERCENT = 85
@@ -31,6 +31,8 @@ BANDS, ROWS = 32, 6
 RING = 1 << 20
 SEED = 20240229
 CACHED_WORDS = 400_000
+# Parities of a set, in words of 64 bits.
+PARITY_WORDS = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,19 +111,35 @@ def _sign(batches, size: int):
             names=["doc_id", "node", "n_shingles", "bands"])
 
 
+def set_parities(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY_WORDS`` words: whether an odd number of shingles falls on a bit. Two sets differ by as many shingles as bits, at least."""
+    bits = PARITY_WORDS * 64
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(left: Column, right: Column, percent: int) -> Column:
+    """No link fails this test on sizes and parities of two sets: ``n, odd`` each."""
+    together = left["n"] + right["n"]
+    return (100 * F.least(left["n"], right["n"]) >= percent * F.greatest(left["n"], right["n"])) & (
+        (100 + percent) * turned(left["odd"], right["odd"], PARITY_WORDS) <= (100 - percent) * together)
+
+
 def _sets(batches, size: int):
     hashes = _Words()
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            sets = [shingle_hashes(t, hashes, size).view(np.int64) for t in part.column("text").to_pylist()]
+            sets = [shingle_hashes(t, hashes, size) for t in part.column("text").to_pylist()]
             ends = pa.array(np.cumsum([0] + [len(x) for x in sets]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+            odd = pa.array(np.concatenate([set_parities(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([
+                part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64))),
+                pa.FixedSizeListArray.from_arrays(odd, PARITY_WORDS).cast(pa.list_(pa.int64()))], names=["node", "shingles", "odd"])
 
 
 def prefixes(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members ``bucket, node, component, about, place`` of ``mixed`` (``node, component``) by shingles of their prefixes.
+    """Members ``bucket, node, component, about, place`` of ``mixed`` (``node, component, about``) by shingles of their prefixes.
 
     Sets that are similar enough share one of their first shingles in any common order: of n shingles, at least
     ``percent`` per cent must be shared, so the n - that + 1 first cannot all be missed. Shingles of one component
@@ -139,7 +157,7 @@ def prefixes(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("found", "shingle")))
     first = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     return staged(first.join(numbered, "id").select(
-        F.col("shingle").alias("bucket"), "node", "component", F.col("n").alias("about"), "place"), "prefixes")
+        F.col("shingle").alias("bucket"), "node", "component", "about", "place"), "prefixes")
 
 
 def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -148,11 +166,11 @@ def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
     Where two sets meet first, what follows in both must still make up the shared shingles that the similarity asks for.
     """
     other = members.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("node", "component", "about", "place")])
-    left = 1 + F.least(F.col("about") - F.col("place"), F.col("_about") - F.col("_place"))
+    left = 1 + F.least(F.col("about.n") - F.col("place"), F.col("_about.n") - F.col("_place"))
     return members.join(other, "bucket").where(
         (F.col("node") < F.col("_node")) & (F.col("component") != F.col("_component"))
-        & (100 * F.least("about", "_about") >= percent * F.greatest("about", "_about"))
-        & (left * (100 + percent) >= percent * (F.col("about") + F.col("_about")))).select(
+        & (left * (100 + percent) >= percent * (F.col("about.n") + F.col("_about.n")))
+        & may_link(F.col("about"), F.col("_about"), percent)).select(
         F.col("node").alias("a"), F.col("_node").alias("b")).distinct()
 
 
@@ -173,19 +191,18 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     # Ids before no id.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     nodes = staged(rows.where("n_shingles > 0").groupBy("node").agg(
-        F.min(place).alias("first"), F.first("n_shingles").alias("about"), F.first("bands").alias("bands")), "nodes")
-    members = crowded_members(nodes.select(F.explode("bands").alias("bucket"), "node", "about"))
-
-    def may_link(left, right):
-        return 100 * F.least(left, right) >= percent * F.greatest(left, right)
+        F.min(place).alias("first"), F.first("bands").alias("bands")), "nodes")
+    crowded = crowded_members(nodes.select(F.explode("bands").alias("bucket"), "node"))
 
     # Full sets of the texts that share a bucket, made once; a row of a repeated text each.
-    holders = nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+    holders = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select(
         F.col("node").alias("_node"), F.col("first.doc_id").alias("_doc"))
     held = _nodes(documents).join(
         holders, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["node", "doc_id"])
     sets = staged(held.select("node", "text").mapInArrow(
-        lambda batches: _sets(batches, size), "node binary, shingles array<bigint>"), "sets")
+        lambda batches: _sets(batches, size), "node binary, shingles array<bigint>, odd array<bigint>"), "sets")
+    members = staged(crowded.join(sets.select(
+        "node", F.struct(F.size("shingles").alias("n"), "odd").alias("about")), "node"), "members-about")
 
     def verify(pairs):
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a").join(
@@ -193,8 +210,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
         common = F.size(F.array_intersect("_a", "_b"))
         return both.where(common * (100 + percent) >= percent * (F.size("_a") + F.size("_b"))).select("a", "b")
 
-    components = link_members(members, verify, may_link, narrow=lambda mixed: prefixes(mixed, sets, percent),
-                              narrow_pairs=lambda finer: prefix_pairs(finer, percent))
+    components = link_members(
+        members, verify, lambda left, right: may_link(left, right, percent),
+        narrow=lambda mixed: prefixes(mixed, sets, percent), narrow_pairs=lambda finer: prefix_pairs(finer, percent))
     linked = labels_of(components, nodes.select("node", F.col("first").alias("least")), "least")
     labels = staged(nodes.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("least")), "labels")
     # Empty texts are no nodes: each is its own component.

@@ -525,3 +525,43 @@ def test_minhash_keeps_one_of_repeated_ids(spark):
     docs = spark.createDataFrame([(1, base), (1, base + " end"), (2, base), (None, base), (3, "other words only"), (1, base)],
                                  "doc_id long, text string")
     assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == [1, 3]
+
+
+def test_minhash_prefix_join_lists_few_unlinked_pairs(spark, monkeypatch):
+    """Texts a bit below the bar around one base share the shingles of their prefixes; nearly none is a candidate."""
+    rng = np.random.default_rng(79)
+    base, texts = words(rng, 150).split(), []
+    for i in range(60):
+        at = rng.choice(30, 3, replace=False) * 5 + 2
+        texts.append(" ".join(f"own{i}x{j}" if j in at else w for j, w in enumerate(base)))
+    texts.append(texts[0] + " end")
+    hashes, listed, label = minhash._Words(), [], list(range(len(texts)))
+    sets = [minhash.shingle_hashes(t, hashes) for t in texts]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    prefix_pairs = minhash.prefix_pairs
+
+    def counted(*args):
+        pairs = prefix_pairs(*args)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "prefix_pairs", counted)
+    rows = {r["doc_id"]: r["component_id"] for r in minhash.documents_query(docs_of(spark, texts)).collect()}
+    assert len(listed) == 1 and listed[0] <= 60
+    assert [rows[i] for i in range(len(texts))] == label and 10 < len(set(label)) < 60
+
+
+def test_set_parities_lose_no_link():
+    rng = np.random.default_rng(80)
+    hashes = minhash._Words()
+    for size in (1, 30, 150, 900, 4000):
+        for _ in range(20):
+            base = words(rng, size, 4000).split()
+            other = [w if rng.random() > 0.04 else "own" for w in base]
+            a, b = (minhash.shingle_hashes(" ".join(x), hashes) for x in (base, other))
+            odd = minhash.set_parities(a) ^ minhash.set_parities(b)
+            assert sum(int(x).bit_count() for x in odd.view(np.uint64)) <= len(np.setxor1d(a, b))

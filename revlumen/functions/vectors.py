@@ -77,6 +77,9 @@ class Leaders:
         self.limits = np.full(len(queries), np.inf)
         if 0 < k <= len(self.pivots) and (metric == "l2" or self.pivots.any(axis=1).all()):
             self.limits = np.partition(self.to_pivots, k - 1, axis=1)[:, k - 1] + SLACK
+        with np.errstate(over="ignore"):
+            self.squares = (self.queries ** 2).sum(axis=1)
+        self.long = np.column_stack([self.queries, np.ones(len(queries))])
         self.pending, self.waiting = [], 0
 
     @staticmethod
@@ -111,13 +114,23 @@ class Leaders:
 
     def _add_cell(self, ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, slack: float) -> None:
         step = max(1, BLOCK_ENTRIES // max(1, len(asked)))
+        every = len(asked) == len(self.queries)
+        queries, squares = (self.long, self.squares) if every else (self.long[asked], self.squares[asked])
+        # A row is within reach if q.r - r.r / 2 >= (q.q - reach^2) / 2: one product, with one more column, and one test.
+        with np.errstate(over="ignore"):
+            long = np.column_stack([rows, (rows ** 2).sum(axis=1) / -2.0])
         for start in range(0, len(ids) if len(asked) else 0, step):
             some = rows[start:start + step]
-            reach = self._reach(some, self.queries[asked])
+            if np.isfinite(slack):
+                with np.errstate(over="ignore"):
+                    bar = (squares - (self.limits[asked] + slack) ** 2) / 2.0
+                near = queries @ long[start:start + step].T >= bar[:, None]
+            else:
+                near = self._reach(some, self.queries[asked]) <= (self.limits[asked] + slack)[:, None]
             if self.metric == "cosine":
                 # Zero vectors have distance 1 to everything.
-                reach[:, ~some.any(axis=1)] = 0.0
-            query, row = np.nonzero(reach <= (self.limits[asked] + slack)[:, None])
+                near[:, ~some.any(axis=1)] = True
+            query, row = np.divmod(np.flatnonzero(near), len(some))
             for low in range(0, len(query), PENDING):
                 q, r = asked[query[low:low + PENDING]], row[low:low + PENDING]
                 exact = np.concatenate([distances_to(some[r[i:i + 16384]], self.queries[q[i:i + 16384]], self.metric)

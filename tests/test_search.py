@@ -66,6 +66,23 @@ def test_cells_are_left_out_without_loss():
             assert ids[query == q].tolist() == np.lexsort((np.arange(6000), distance))[:5].tolist()
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_pairs_out_of_reach_cost_one_product(metric, monkeypatch):
+    """No distance is made for a pair of row and query that its product rules out, and no neighbour is lost."""
+    rng = np.random.default_rng(31)
+    rows = np.concatenate([rng.normal(size=(3000, 16)), np.zeros((1, 16)), np.full((2, 16), 1e-9)])
+    made, reach = [], V.Leaders._reach
+    monkeypatch.setattr(V.Leaders, "_reach", staticmethod(lambda a, b: made.append(len(a) * len(b)) or reach(a, b)))
+    leaders = V.Leaders(rows, 5, metric, rows[:20])
+    leaders.add(np.arange(len(rows)), rows)
+    query, ids, distance = leaders.rows()
+    assert sum(made) <= 2 * 20 * len(rows)
+    plain = V.unit(rows) if metric == "cosine" else rows
+    for q in [*range(0, 3000, 150), 3000, 3001]:
+        exact = V.distances_to(plain, np.broadcast_to(plain[q], plain.shape), metric)
+        assert ids[query == q].tolist() == sorted(range(len(rows)), key=lambda i: (exact[i], i))[:5]
+
+
 def test_tiny_and_huge_distances_decide(spark):
     """Differences far below the sixth digit, and vectors whose squares leave the range of doubles."""
     near = [(i, [1.0, (9 - i) * 1e-5]) for i in range(9)]

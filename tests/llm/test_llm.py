@@ -417,6 +417,56 @@ def test_fuzzy_lines_equal_brute_force(spark):
     assert [i for i in range(len(texts)) if not rows[i]["n_removed"]] == sorted(set(label))
 
 
+def test_gram_tests_lose_no_link():
+    rng = np.random.default_rng(25)
+    for n in (4, 9, 20, 60):
+        line = words(rng, n)
+        for edits in range(1, 8):
+            texts = [line, edited(rng, line, edits)]
+            a, b = fuzzy_lines.pair_parities(texts, fuzzy_lines.GRAM, fuzzy_lines.GRAM_WORDS)
+            most = 2 * fuzzy_lines.GRAM * edits
+            assert int(np.unpackbits((a ^ b).view(np.uint8)).sum()) <= most
+            assert fuzzy_lines.gram_gaps(texts, np.array([0]), np.array([1]))[0] <= most
+
+
+def test_plain_lines_are_normalised():
+    for text in ("a_B9\n\n  \x85x\xa0y\r\n", "ÀÉß ªº²\nµ Ÿ", "Σ ΑΣ\nΣΑ 12", "".join(map(chr, range(1, 0x250)))):
+        assert fuzzy_lines.plain_lines(text) == [fuzzy_lines.normalised(line) for line in text.split("\n")]
+
+
+def test_simhash_of_many_lines():
+    simhash, rng = fuzzy_lines.SimHash(), np.random.default_rng(26)
+    lines = [words(rng, int(n)).split(" ") for n in (1, 2, 3, 254, 255, 256, 257, 5000, 7)]
+    assert (simhash.many(lines) == np.array([simhash.blocks(line) for line in lines])).all()
+    assert simhash.many([]).shape == (0, 32)
+
+
+def test_fuzzy_lines_are_dealt_whole(spark, monkeypatch):
+    rng = np.random.default_rng(27)
+    plains = []
+    for _ in range(12):
+        line = words(rng, int(rng.integers(4, 40)))
+        plains += [line, *[edited(rng, line, int(rng.integers(1, max(2, len(line) // 9)))) for _ in range(4)]]
+    plains = sorted({fuzzy_lines.normalised(p) for p in plains})
+    cells = fuzzy_lines.Segments(0.9).cells(np.array([len(p) for p in plains])).tolist()
+    texts = spark.createDataFrame([(p.encode(), p, len(p), c) for p, c in zip(plains, cells)],
+                                  "node binary, plain string, size int, cell int")
+    one = plains[0].encode()
+    components = spark.createDataFrame([(one, one)], "node binary, component binary")
+    # A few rows per line, not some per character.
+    assert fuzzy_lines.dealt_lines(texts, components).count() <= 3 * len(plains) + 3
+    want = {(a, b) for a, b in itertools.combinations(plains, 2) if abs(len(a) - len(b)) * 10 <= max(len(a), len(b))
+            and 10 * edit_distance(a, b) <= max(len(a), len(b))}
+    for block in (1 << 24, 150):
+        monkeypatch.setattr(fuzzy_lines, "BLOCK_CHARS", block)
+        got = {tuple(sorted((r["plain_a"], r["plain_b"])))
+               for r in fuzzy_lines.segment_pairs(texts, components, 0.9).collect()}
+        assert want <= got
+    # Nothing meets within a component.
+    every = spark.createDataFrame([(p.encode(), one) for p in plains], "node binary, component binary")
+    assert fuzzy_lines.segment_pairs(texts, every, 0.9).count() == 0
+
+
 def test_mixing_very_long_documents():
     assert mixing.fit(np.array([100_000]), np.array([3]), 120_000).tolist() == [1]
     assert mixing.fit(np.array([100_000]), np.array([3]), 190_000).tolist() == [2]

@@ -467,6 +467,53 @@ def test_fuzzy_lines_are_dealt_whole(spark, monkeypatch):
     assert fuzzy_lines.segment_pairs(texts, every, 0.9).count() == 0
 
 
+def test_edit_distances_within_bounds():
+    rng = np.random.default_rng(28)
+    for letters in ("ab", "abc\u00e9", "ab\u4e00", "a\U0001f600b"):
+        lines = []
+        for _ in range(25):
+            line = "".join(rng.choice(list(letters), int(rng.integers(1, 40))))
+            lines += [line, edited(rng, line + "a", int(rng.integers(0, 6)))]
+        lines = [line or "a" for line in lines]
+        texts = fuzzy_lines._Texts([fuzzy_lines.pa.array(lines[:20]), fuzzy_lines.pa.array(lines[20:])])
+        assert [texts.plain(i) for i in range(50)] == lines
+        a, b = np.divmod(np.arange(2500), 50)
+        most = rng.integers(0, 12, 2500)
+        want = [edit_distance(lines[i], lines[j]) <= m for i, j, m in zip(a, b, most)]
+        assert fuzzy_lines.within(texts, a, b, most).tolist() == want
+
+
+def test_fuzzy_lines_that_repeat_themselves(spark):
+    rng = np.random.default_rng(29)
+    texts = [edited(rng, "is onhe " * 30 + "x", int(n)) for n in rng.integers(5, 60, 40)]
+    rows = {r["doc_id"]: r for r in fuzzy_lines.documents_query(docs_of(spark, texts)).collect()}
+    assert [i for i in range(40) if not rows[i]["n_removed"]] == sorted(set(linked(texts)))
+
+
+def test_repeated_keys_meet_a_line_once(monkeypatch):
+    hits, goes_on = [], fuzzy_lines._Index._goes_on
+    monkeypatch.setattr(fuzzy_lines._Index, "_goes_on", lambda self, a, *x: hits.append(len(a)) or goes_on(self, a, *x))
+    lines = ["is onhe " * 100 + f"x{'y' * n}" for n in range(20)]
+    texts, segments = fuzzy_lines._Texts([fuzzy_lines.pa.array(lines)]), fuzzy_lines.Segments(0.9)
+    cells = segments.cells(texts.sizes)
+    first = int(np.flatnonzero(cells == cells[-1])[0])
+    groups = fuzzy_lines._Groups(np.arange(20))
+    index = fuzzy_lines._Index(segments, int(cells[-1]), texts, first, 20, groups.above.copy())
+    a, b = np.divmod(index.meet(0, 20, groups), 20)
+    # All pairs by few hits, not by one for each place of either line.
+    assert {(int(x), int(y)) for x, y in zip(a, b)} >= {(x, y) for x in range(first, 20) for y in range(x)}
+    assert sum(hits) < 20 * 20 * 10
+
+
+def test_first_places_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(30)
+    line = words(rng, 30)
+    rows = [(7, f"own one\n{line}"), (7, f"own one\n{line}"), (None, f"z\n{line} y"), (3, line), (7, f"{line}\n{line}")]
+    got = fuzzy_lines.documents_query(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"], r["text"]) for r in got)
+    assert kept == [(0, 2, 0, f"z\n{line} y"), (3, 1, 1, ""), (7, 2, 1, "own one"), (7, 2, 1, "own one"), (7, 2, 2, "")]
+
+
 def test_mixing_very_long_documents():
     assert mixing.fit(np.array([100_000]), np.array([3]), 120_000).tolist() == [1]
     assert mixing.fit(np.array([100_000]), np.array([3]), 190_000).tolist() == [2]
